@@ -172,8 +172,8 @@ def lowered_set(arr: Column) -> Column:
 
 def entity_signature(countries: Column, orgs: Column, people: Column) -> Column:
     """Typed entity tokens of one claim."""
-    parts = [F.transform(lowered_set(a), lambda x, p=p: F.concat(F.lit(p + ":"), x))
-             for p, a in (("country", countries), ("org", orgs), ("person", people))]
+    typed = lambda kind, arr: F.transform(lowered_set(arr), lambda x: F.concat(F.lit(kind + ":"), x))
+    parts = [typed("country", countries), typed("org", orgs), typed("person", people)]
     return F.array_sort(F.concat(*parts))
 
 
