@@ -102,3 +102,16 @@ def entity_sig(countries="countries", orgs="orgs", people="people") -> str:
     """Typed entity tokens as a sorted distinct list."""
     part = lambda p, c: f"list_transform({c}, lambda v: '{p}:' || lower(trim(v)))"
     return (f"list_sort(list_distinct({part('country', countries)} || {part('org', orgs)} || {part('person', people)}))")
+
+EVENTS = """evs AS (SELECT min(claim_id) OVER (PARTITION BY identity) AS event_id, identity, created_at AS last_updated_at, claim_id AS latest_claim_id,
+    topic, fingerprint, summary, impact_score, confidence, is_breaking, breaking_window, event_time, claim_hash, is_published, country, org, phrase, source_claimed,
+    'p-' || sha256(summary) AS payload_hash, coalesce(strftime(event_time, '%Y-%m-%d'), 'unknown') AS time_bucket
+  FROM claims QUALIFY row_number() OVER (PARTITION BY identity ORDER BY created_at DESC, claim_id DESC) = 1)"""
+LINKS = "links AS (SELECT e.event_id, c.claim_id AS raw_message_id, c.created_at AS linked_at FROM claims c JOIN evs e USING (identity))"
+EVENT_TAGS = """tags AS (SELECT event_id, 'commodities' AS tag_type, split_part(phrase, ' ', 1) AS tag_value FROM evs
+  UNION ALL SELECT event_id, 'countries', array_to_string(list_transform(string_split(country, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') FROM evs
+  UNION ALL SELECT event_id, 'directionality', (['stress', 'easing', 'neutral'])[event_id % 3 + 1] FROM evs)"""
+EVENT_RELATIONS = """rels AS (SELECT event_id, 'country' AS subject_type, country AS subject_value, (['curtails', 'supports', 'contradicts'])[event_id % 3 + 1] AS relation_type,
+  'commodity' AS object_type, split_part(phrase, ' ', 1) AS object_value FROM evs WHERE latest_claim_id % 3 = 0)"""
+CANDIDATES = """cands AS (SELECT event_id, CASE WHEN impact_score >= 80 THEN 'deep_enrich' WHEN impact_score >= 45 THEN 'index_only' ELSE 'store_only' END AS route,
+  impact_score >= 60 AS selected, impact_score AS calibrated_score, last_updated_at AS scored_at, fingerprint AS cluster_key FROM evs WHERE impact_score IS NOT NULL)"""

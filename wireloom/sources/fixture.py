@@ -111,3 +111,49 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(("Stress", "easing", "bad", None), i % 4).alias("direction_raw"),
         F.lit(None).cast("string").alias("event_core"),
     )
+
+
+EVENT_FIELDS = ("topic", "fingerprint", "summary", "impact_score", "confidence", "is_breaking", "breaking_window", "event_time",
+                "claim_hash", "is_published", "country", "org", "phrase", "source_claimed")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event per identity; the latest claim gives its fields, the smallest claim id is its id."""
+    latest = F.max(F.struct("created_at", "claim_id", *EVENT_FIELDS)).alias("x")
+    return (
+        claims(spark, sf_dir).groupBy("identity").agg(F.min("claim_id").alias("event_id"), latest)
+        .select("event_id", "identity", F.col("x.created_at").alias("last_updated_at"), F.col("x.claim_id").alias("latest_claim_id"),
+                *[F.col(f"x.{c}").alias(c) for c in EVENT_FIELDS])
+        .withColumn("payload_hash", F.concat(F.lit("p-"), F.sha2("summary", 256)))
+        .withColumn("time_bucket", F.coalesce(F.date_format("event_time", "yyyy-MM-dd"), F.lit("unknown")))
+    )
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, raw_message_id, linked_at): every claim belongs to the event of its identity."""
+    c = claims(spark, sf_dir).select("identity", F.col("claim_id").alias("raw_message_id"), F.col("created_at").alias("linked_at"))
+    return c.join(events(spark, sf_dir).select("identity", "event_id"), "identity").drop("identity")
+
+
+def event_tags(ev: DataFrame) -> DataFrame:
+    i = F.col("event_id")
+    tag = lambda family, value: F.struct(F.lit(family).alias("tag_type"), value.alias("tag_value"))
+    return ev.select("event_id", F.explode(F.array(
+        tag("commodities", F.split("phrase", " ")[0]), tag("countries", F.initcap("country")),
+        tag("directionality", _pick(V.DIRECTIONS, i % 3)))).alias("t")).select(
+        "event_id", "t.*", F.lit("observed").alias("tag_source"), F.lit(0.7).alias("confidence"))
+
+
+def event_relations(ev: DataFrame) -> DataFrame:
+    return ev.filter("latest_claim_id % 3 = 0").select(
+        "event_id", F.lit("country").alias("subject_type"), F.col("country").alias("subject_value"),
+        _pick(("curtails", "supports", "contradicts"), F.col("event_id") % 3).alias("relation_type"), F.lit("commodity").alias("object_type"),
+        F.split("phrase", " ")[0].alias("object_value"), F.lit("observed").alias("relation_source"))
+
+
+def candidates(ev: DataFrame) -> DataFrame:
+    """Enrichment candidates of the events that have a score."""
+    s = F.col("impact_score")
+    return ev.filter(s.isNotNull()).select(
+        "event_id", F.when(s >= 80, "deep_enrich").when(s >= 45, "index_only").otherwise("store_only").alias("route"),
+        (s >= 60).alias("selected"), s.alias("calibrated_score"), F.col("last_updated_at").alias("scored_at"), F.col("fingerprint").alias("cluster_key"))
