@@ -74,8 +74,8 @@ def digest_text(spark, sf):
 _WORD = lambda k: f"('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT"
 
 
-@register("digest_input_hash", with_(CLAIMS, SOURCE) + f"""SELECT window_start, window_end, count(*) AS n, sha256(concat_ws('|', '3/6', strftime(window_start, '%Y-%m-%d %H:%M:%S'), strftime(window_end, '%Y-%m-%d %H:%M:%S'),
-  count(*), {', '.join(f'sum({_WORD(k)})::BIGINT' for k in range(4))}, {', '.join(f'bit_xor({_WORD(k)})' for k in range(4))})) AS input_hash
-FROM (SELECT *, sha256(concat_ws('|', event_id, topic_label, summary, coalesce(fingerprint, '~'), coalesce(claim_hash, '~'), epoch_us(last_updated_at))) AS h FROM src) GROUP BY ALL""")
+@register("digest_input_hash", with_(CLAIMS, SOURCE) + f"""SELECT window_start, window_end, n, sha256(concat_ws('|', '3/6', strftime(window_start, '%Y-%m-%d %H:%M:%S'), strftime(window_end, '%Y-%m-%d %H:%M:%S'), n, s0, s1, s2, s3, x0, x1, x2, x3)) AS input_hash
+FROM (SELECT window_start, window_end, count(*) AS n, {', '.join(f'sum({_WORD(k)})::BIGINT AS s{k}' for k in range(4))}, {', '.join(f'bit_xor({_WORD(k)}) AS x{k}' for k in range(4))}
+  FROM (SELECT *, sha256(concat_ws('|', event_id, topic_label, summary, coalesce(fingerprint, '~'), coalesce(claim_hash, '~'), epoch_us(last_updated_at))) AS h FROM src) a GROUP BY window_start, window_end) b""")
 def digest_input_hash(spark, sf):
     return D.input_hash(source(spark, sf), "3/6")

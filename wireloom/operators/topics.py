@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T, vocab as V
+from ..session import cut_lineage
 from .asof import HOUR, micros, sliced_position, top_per_key
 from .filters import assign_windows
 
@@ -163,6 +164,7 @@ def recent_memo_topics(windows: DataFrame, runs: DataFrame) -> DataFrame:
 
 def rank_topics(w: DataFrame, recent_topics: DataFrame | None = None, limit: int = 20) -> DataFrame:
     """All topics of every window with their components, score, rank and up to 20 candidate ids."""
+    w = cut_lineage(w)  # six branches read it
     base = w.select(*WINDOW).distinct().withColumn("mapped_topic", F.explode(T.lit_array(V.MEMO_TOPICS)))
     best = top_per_key(w, KEYS, [F.desc("impact_score"), F.desc("ts"), "event_id"], 20)
     ids = best.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("position", "event_id"))).alias("c")).select(
@@ -193,6 +195,7 @@ def select_topic(ranked: DataFrame, threshold: float = V.TOPIC_THRESHOLD, topic:
 def driver_scores(w: DataFrame) -> DataFrame:
     """Seven drivers per (window, topic) with their four components and score."""
     dk = [*KEYS, "driver"]
+    w = cut_lineage(w.select(*KEYS, "event_id", "ts", "impact", "span_us", "drivers", "relation_types", "entity_tokens"))
     s = w.withColumn("driver", F.explode("drivers"))
     total = w.groupBy(*KEYS).agg(exact_sum(F.col("impact")).alias("total"))
     n = F.count(F.lit(1))
