@@ -95,7 +95,13 @@ def match_theme(events: DataFrame, theme: Theme = ENERGY_TO_AGRI) -> DataFrame:
     """Matched events with hits, reasons and references. Needs the snapshot columns plus calibrated_score."""
     if theme.matcher is not None:
         return theme.matcher(events).withColumn("theme_key", F.lit(theme.key))
-    df = archetypes(events)
+    # the predicate reads the text once; a filter does not share sub-expressions with its neighbours
+    def shape(t: Column) -> Column:
+        words = [w for name, family in V.ARCHETYPES if name in V.SUPPLY_SHAPE_ARCHETYPES or name == "input_price_shock" for w in family]
+        bias = (F.col("topic") == "commodities") & F.contains(t, F.lit("price"))
+        return T.has_any(t, theme.energy_markers) & (T.has_any(t, [*theme.supply_markers, *theme.downstream_markers, *words]) | F.coalesce(bias, F.lit(False)))
+
+    df = archetypes(events.filter(T.let(payload_text(), shape)))
     text = F.col("theme_text")
     hit = lambda words: T.words_found(text, words)
     df = df.withColumns({"energy_hits": hit(theme.energy_markers), "supply_hits": hit(theme.supply_markers), "downstream_hits": hit(theme.downstream_markers)})
@@ -105,7 +111,7 @@ def match_theme(events: DataFrame, theme: Theme = ENERGY_TO_AGRI) -> DataFrame:
     low = lambda c: F.filter(F.transform(c, lambda v: F.lower(T.strip(v))), lambda v: v != "")
     reasons = F.concat(F.array_compact(F.array(
         F.when(energy, "theme_match:energy_signal"), F.when(supply, "theme_match:supply_shape"), F.when(down, "theme_match:downstream_shape"))), "archetype_reasons")
-    return df.filter(energy & (supply | down)).withColumns({
+    return df.withColumns({
         "theme_key": F.lit(theme.key), "reason_codes": F.array_sort(F.array_distinct(reasons)),
         "entity_refs": F.array_sort(F.array_distinct(F.concat(low("orgs"), low("tickers")))), "geography_refs": F.array_sort(F.array_distinct(low("countries")))})
 
