@@ -26,15 +26,19 @@ def slice_of(us: Column, length: int) -> Column:
 
 
 def previous_within(df: DataFrame, keys: Sequence[str], us: str, tie: str, horizon: int, carry: Sequence[str],
-                    out: str = "prev") -> DataFrame:
+                    out: str = "prev", among: Column | None = None) -> DataFrame:
     """Latest earlier row of the same key at most ``horizon`` microseconds before, as struct ``out`` (or null).
 
-    In-slice ``lag``; the first row of a slice looks at the last row of the slice before.
+    ``among`` limits which rows can be found. Running maximum inside a slice; where that finds nothing, the last row
+    of the slice before.
     """
     cut = df.withColumn("_slice", slice_of(F.col(us), horizon))
     item = F.struct(F.col(us).alias("us"), F.col(tie).alias("tie"), *[F.col(c) for c in carry])
-    inside = cut.withColumn("_in", F.lag(item).over(W.partitionBy(*keys, "_slice").orderBy(us, tie)))
-    tails = cut.groupBy(*keys, (F.col("_slice") + 1).alias("_slice")).agg(F.max(item).alias("_tail"))
+    item = item if among is None else F.when(among, item)
+    before = W.partitionBy(*keys, "_slice").orderBy(us, tie).rowsBetween(W.unboundedPreceding, -1)
+    inside = cut.withColumn("_in", F.last(item, ignorenulls=True).over(before))
+    tails = cut.groupBy(*keys, (F.col("_slice") + 1).alias("_slice")).agg(
+        F.max_by(item, F.when(item.isNotNull(), F.struct(us, tie))).alias("_tail"))
     best = F.coalesce("_in", "_tail")
     return (
         inside.join(tails, [*keys, "_slice"], "left")
