@@ -29,10 +29,10 @@ def _titled(spark, sf):
 
 
 OVERLAP = """tok AS (SELECT event_id, topic, last_updated_at, event_time, country, lower(org) AS org, list_distinct(regexp_extract_all(lower(summary), '[a-z0-9]+')) AS t FROM evs),
-look AS (SELECT a.event_id, a.t AS at, b.t AS bt, a.country = b.country OR a.org = b.org AS shared, coalesce(abs(epoch_us(a.event_time) - epoch_us(b.event_time)) <= 14400000000, true) AS close
+look AS (SELECT a.event_id, a.t AS ta, b.t AS tb, a.country = b.country OR a.org = b.org AS shared, coalesce(abs(epoch_us(a.event_time) - epoch_us(b.event_time)) <= 14400000000, true) AS close
   FROM tok a JOIN tok b ON a.topic = b.topic AND b.last_updated_at >= a.last_updated_at - INTERVAL '3' HOUR AND (b.last_updated_at, b.event_id) < (a.last_updated_at, a.event_id)
   QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY b.last_updated_at DESC, b.event_id DESC) <= 20),
-blocked AS (SELECT DISTINCT event_id FROM look WHERE shared AND close AND len(list_intersect(at, bt)) / len(list_distinct(at || bt))::DOUBLE >= 0.82)"""
+blocked AS (SELECT DISTINCT event_id FROM look WHERE shared AND close AND len(list_intersect(ta, tb)) / len(list_distinct(ta || tb))::DOUBLE >= 0.82)"""
 
 
 @register("title_entity_overlap", with_(CLAIMS, EVENTS, OVERLAP) + "SELECT e.event_id, b.event_id IS NOT NULL AS blocked FROM evs e LEFT JOIN blocked b USING (event_id)")
