@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 _MODULES = ("ingest", "filters", "claims", "scoring", "search", "events", "digest", "enrich", "themes", "topics",
-            "quality", "stream")
+            "quality", "stream", "plans")
 
 
 def register(name: str, sql: str | None = None):
