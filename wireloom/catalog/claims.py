@@ -128,7 +128,7 @@ TAG_CTES = (*DIR_CTES, TAGS)
 @register("canon_tags", with_(*TAG_CTES) + "SELECT claim_id, fam AS tag_type, val AS tag_value, src AS tag_source, conf AS confidence FROM tag_final")
 def canon_tags(spark, sf):
     df = C.canon_tags(C.resolve_direction(C.canon_names(X.raw_claims(spark, sf))))
-    return df.select("claim_id", F.explode("canon_tags").alias("t")).select("claim_id", "t.*")
+    return df.select("claim_id", F.explode_outer("canon_tags").alias("t")).filter("t IS NOT NULL").select("claim_id", "t.*")
 
 
 @register("tag_diagnostics", with_(*TAG_CTES) + """SELECT d.claim_id, len(d.tags) AS emitted, coalesce(v, 0) AS valid, len(d.tags) - coalesce(v, 0) AS dropped,
@@ -157,7 +157,7 @@ rel_distinct AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY pos
 @register("canon_relations", with_(CLAIMS, RAW, RELATIONS) + """SELECT claim_id, st AS subject_type, sv AS subject_value, rt AS relation_type, ot AS object_type,
   ov AS object_value, rs AS relation_source, CASE WHEN rs = 'inferred' THEN 1 ELSE 0 END AS inference_level, conf AS confidence FROM rel_distinct WHERE k <= 3""")
 def canon_relations(spark, sf):
-    return C.canon_relations(X.raw_claims(spark, sf)).select("claim_id", F.explode("canon_relations").alias("r")).select("claim_id", "r.*")
+    return C.canon_relations(X.raw_claims(spark, sf)).select("claim_id", F.explode_outer("canon_relations").alias("r")).filter("r IS NOT NULL").select("claim_id", "r.*")
 
 
 @register("relation_diagnostics", with_(CLAIMS, RAW, RELATIONS) + """SELECT c.claim_id, len(c.relations) AS emitted, coalesce(k, 0) AS valid, len(c.relations) - coalesce(k, 0) AS dropped,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from . import register
 from .base_sql import case_map, first_family, q
 from ..functions import text as T, vocab as V
+from ..session import spread
 from ..sources import adhoc, messages as M
 
 _KIND = {"en": "telegram", "fr": " RSS ", "de": "", "es": "Web"}
@@ -27,7 +28,7 @@ _FIRST = """firsts AS (
 
 
 def _docs(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def _messages(spark, sf):

@@ -61,8 +61,8 @@ def claim_batch(raw: DataFrame, stored: DataFrame | None = None, state: DataFram
     mentions = events.index_entities(c.withColumn("raw_message_id", F.col("claim_id")), links)
     latest = new_state.select("event_id", F.col("latest_claim_id").alias("claim_id")).join(c.select("claim_id", "tags", "relations"), "claim_id")
     return {"claims": final, "events": new_state, "actions": actions, "links": links, "entity_mentions": mentions,
-            "event_tags": latest.select("event_id", F.explode("tags").alias("t")).select("event_id", "t.*"),
-            "event_relations": latest.select("event_id", F.explode("relations").alias("r")).select("event_id", "r.*"),
+            "event_tags": latest.select("event_id", F.explode_outer("tags").alias("t")).filter("t IS NOT NULL").select("event_id", "t.*"),
+            "event_relations": latest.select("event_id", F.explode_outer("relations").alias("r")).filter("r IS NOT NULL").select("event_id", "r.*"),
             "score_distribution": scoring.score_distribution(c)}
 
 

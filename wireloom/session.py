@@ -46,3 +46,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder."""
     _shared_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores (one small file) is dealt out to all cores; a large scan stays as it is."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -22,27 +22,32 @@ PAYLOAD = (
 
 
 def reject_reason(doc: Column) -> Column:
-    """``invalid_json``, ``schema_error`` or null. Bad tag and relation items do not reject a document."""
-    v, keys = F.try_parse_json(doc), F.json_object_keys(doc)
+    """``invalid_json``, ``schema_error`` or null. Bad tag and relation items do not reject a document.
+
+    The text is parsed once per row; every check reads the parsed value.
+    """
+    parsed = F.struct(F.try_parse_json(doc).alias("v"), F.json_object_keys(doc).alias("keys"))
+    return T.let(parsed, lambda p: F.when(p["v"].isNull() | p["keys"].isNull(), "invalid_json").when(
+        ~F.coalesce(_contract(p["v"], p["keys"]), F.lit(False)), "schema_error"))
+
+
+def _contract(v: Column, keys: Column) -> Column:
     get = lambda path, kind: F.try_variant_get(v, path, kind)
     text_list = lambda path: get(path, "array<string>").isNotNull()
     optional_list = lambda path: get(path, "variant").isNull() | text_list(path)
     word = lambda name, allowed: F.coalesce(get(f"$.{name}", "string").isin(*allowed), F.lit(False))
     ranged = lambda name, hi: F.coalesce(get(f"$.{name}", "double").between(0.0, hi), F.lit(False))
     maybe_text = lambda name: ~get(f"$.{name}", "string").rlike(r"^[\[{]") | get(f"$.{name}", "string").isNull()
-    stats = get("$.market_stats", "array<variant>")
-    stat_ok = F.coalesce(F.forall(stats, lambda s: F.try_variant_get(s, "$.label", "string").isNotNull() & F.try_variant_get(s, "$.value", "double").isNotNull()
-                                  & F.try_variant_get(s, "$.unit", "string").isNotNull()), F.lit(False))
-    when = get("$.event_time", "string")
-    time_ok = when.isNull() | F.try_to_timestamp(when).isNotNull()
-    good = (
+    stat_ok = F.coalesce(F.forall(get("$.market_stats", "array<variant>"), lambda s: F.try_variant_get(s, "$.label", "string").isNotNull()
+                                  & F.try_variant_get(s, "$.value", "double").isNotNull() & F.try_variant_get(s, "$.unit", "string").isNotNull()), F.lit(False))
+    time_ok = get("$.event_time", "string").isNull() | F.try_to_timestamp(get("$.event_time", "string")).isNotNull()
+    return (
         (F.size(F.array_except(keys, T.lit_array(REQUIRED_KEYS + OPTIONAL_KEYS))) == 0) & (F.size(F.array_except(T.lit_array(REQUIRED_KEYS), keys)) == 0)
         & word("topic", V.TOPICS) & word("sentiment", V.SENTIMENTS) & word("breaking_window", V.BREAKING_WINDOWS)
         & ranged("confidence", 1.0) & ranged("impact_score", 100.0) & get("$.is_breaking", "boolean").isNotNull() & get("$.summary_1_sentence", "string").isNotNull()
         & text_list("$.keywords") & text_list("$.affected_countries_first_order") & stat_ok & time_ok & maybe_text("source_claimed")
         & get("$.entities", "map<string,variant>").isNotNull()
         & optional_list("$.entities.countries") & optional_list("$.entities.orgs") & optional_list("$.entities.people") & optional_list("$.entities.tickers"))
-    return F.when(v.isNull() | keys.isNull(), "invalid_json").when(~F.coalesce(good, F.lit(False)), "schema_error")
 
 
 def validate_claims(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFrame]:

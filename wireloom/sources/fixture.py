@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import vocab as V
+from ..session import spread
 
 # fixed values: fixture word lists
 PHRASES = ("oil supply disruption widens", "lng terminal outage extends", "policy rate hike surprise",
@@ -29,7 +30,7 @@ def _pick(values, index: Column) -> Column:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar claim columns."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value"))
     i, u = F.col("event_id"), F.col("user_id")
     base = e.select(
         i.alias("claim_id"), F.col("ts").alias("created_at"), F.col("ts").alias("last_updated_at"), u.alias("user_id"),
