@@ -121,9 +121,9 @@ def order_events(spark, sf):
 _FEED = "feed AS (SELECT *, row_number() OVER (ORDER BY event_time DESC, event_id DESC) AS position FROM evs WHERE event_time IS NOT NULL AND length(trim(summary)) > 0)"
 
 
-@register("feed_page", with_(*_EV) + f"""SELECT event_id, trim(summary) AS summary, topic, event_time, round_even(coalesce(impact_score, 0), 0)::BIGINT AS impact_score, true AS has_more,
-  min(event_time) OVER () AS next_time, arg_min(event_id, event_time) OVER () AS next_id FROM (
-  SELECT * FROM evs WHERE event_time < TIMESTAMP '{S1}' AND topic = 'credit' ORDER BY event_time DESC, event_id DESC LIMIT 50)""")
+@register("feed_page", with_(*_EV) + f"""SELECT event_id, summary, topic, event_time, impact_score, n > 50 AS has_more, CASE WHEN n > 50 THEN t END AS next_time, CASE WHEN n > 50 THEN i END AS next_id FROM (
+  SELECT event_id, trim(summary) AS summary, topic, event_time, round_even(coalesce(impact_score, 0), 0)::BIGINT AS impact_score, p, count(*) OVER () AS n, max(CASE WHEN p = 50 THEN event_time END) OVER () AS t, max(CASE WHEN p = 50 THEN event_id END) OVER () AS i
+  FROM (SELECT *, row_number() OVER (ORDER BY event_time DESC, event_id DESC) AS p FROM evs WHERE event_time < TIMESTAMP '{S1}' AND topic = 'credit' QUALIFY p <= 51) a) b WHERE p <= 50""")
 def feed_page(spark, sf):
     return Q.feed_page(X.events(spark, sf), 50, (ts(S1), 0), "credit")
 
