@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-_MODULES = ("near_dup",)
+_MODULES = ("url_filter", "near_dup", "toxicity", "token_count")
 
 
 def register(name: str, sql: str | None = None):
