@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-_MODULES = ("url_filter", "near_dup", "toxicity", "token_count")
+_MODULES = ("url_filter", "near_dup", "toxicity", "token_count", "sharding", "quality_rules")
 
 
 def register(name: str, sql: str | None = None):
