@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import register
 from .ragged import blank_words, hash_windows, hash_words, mix, texts, words
@@ -19,7 +19,8 @@ SIZE = 5          # words of a shingle
 PERMUTATIONS = 64  # each gives a minimum and a maximum: 128 signature values
 BANDS = 32        # of two minima and two maxima each; a pair at 0.75 is missed with probability (1 - 0.75^4)^32 < 6e-6
 SMALL = 16        # members up to which the open pairs of a bucket are compared one by one
-STAR_ROUNDS = 6   # rounds in which large open buckets try further hubs
+STAR_ROUNDS = 2   # rounds in which large open buckets try further hubs
+HUBS = 8          # hubs a member meets in such a round
 
 _RNG = np.random.default_rng(4711)
 _A = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,36 +123,45 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(keys, "key")
 
 
-def _proposals(members: DataFrame, turn: int) -> DataFrame:
-    """One pair for each member: it meets the hub (smallest by a hash of the turn) of one of its buckets."""
-    rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    who = F.struct(rank.alias("rank"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    hubs = members.groupBy("key").agg(F.min(who).alias("h"))
-    return (members.join(hubs, "key").filter(F.col("label") != F.col("h.hub_label")).groupBy("node").agg(F.min("h").alias("h"))
+def _proposals(members: DataFrame, turns: list[int]) -> DataFrame:
+    """At most one pair for each member and turn: it meets the hub (smallest by a hash of the turn) of one of its buckets."""
+    rank = lambda t: F.col("node") if t == 0 else F.xxhash64("node", F.lit(t))
+    who = lambda t: F.struct(rank(t).alias("rank"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    hubs = members.groupBy("key").agg(*[F.min(who(t)).alias(f"h{t}") for t in turns])
+    met = members.join(hubs, "key").select("node", "label", F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), F.col(f"h{t}").alias("h")) for t in turns])).alias("x"))
+    return (met.filter(F.col("label") != F.col("x.h.hub_label")).groupBy("node", "x.turn").agg(F.min("x.h").alias("h"))
             .select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct())
 
 
-def _cross(tokens: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a token and have different labels.
+def _cross(tokens: DataFrame, possible: Column | None = None) -> DataFrame:
+    """Pairs of nodes that share a token and have different labels, where ``possible`` (over the columns of x and y) holds.
 
     Per token, the members of the most frequent label only meet the others: two members of one label are never paired.
     """
     per = tokens.groupBy("token", "label").count()
     main = per.groupBy("token").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1")
     t = tokens.join(main.select("token", F.col("m.label").alias("main")), "token")
-    minor = t.filter("label <> main").select("token", F.col("node").alias("x"), F.col("label").alias("lx"))
-    return (minor.join(t.select("token", F.col("node").alias("y"), F.col("label").alias("ly")), "token").filter("lx <> ly")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    side = lambda df, k: df.select("token", *[F.col(c).alias(f"{k}_{c}") for c in tokens.columns if c != "token"])
+    x, y = side(t.filter("label <> main"), "x"), side(t, "y")
+    return (x.join(y, (x["token"] == y["token"]) & (F.col("x_label") != F.col("y_label")) & (F.lit(True) if possible is None else possible))
+            .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
 
 
 def _prefixes(members: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """The rarest shingles of every member of a large open bucket, as many as an exact prefix filter needs."""
+    """The rarest shingles of every member of a large open bucket, with their places, as many as an exact prefix filter needs."""
     nodes = members.groupBy("node").agg(F.first("label").alias("label"))
     each = nodes.join(sets, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     often = each.groupBy("token").count()
     ranked = each.join(often, "token").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("order"))
     keep = F.col("n") - F.ceil(F.col("n") * part / whole) + 1
-    return ranked.select("node", "label", F.explode(F.slice("order", F.lit(1), keep.cast("int"))).alias("o")).select("node", "label", "o.token")
+    places = ranked.select("node", "label", "n", F.posexplode(F.slice("order", F.lit(1), keep.cast("int"))).alias("place", "o"))
+    return places.filter("o.count > 1").select("node", "label", "n", "place", "o.token")
+
+
+def _reachable(part: int, whole: int) -> Column:
+    """Whether two sets whose first common token stands at these places can still overlap enough: what follows bounds the overlap."""
+    left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    return left * (part + whole) >= (F.col("x_n") + F.col("y_n")) * part
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 75, whole: int = 100) -> DataFrame:
@@ -161,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never paired. The smallest id of a class stands for it. Class representatives that share a band meet: every
     member first proposes to one hub of its buckets, and large buckets that still hold several components try other
     hubs for a few rounds. What is then open is settled exactly: small buckets pair members of different
-    components, large ones do so through the prefix filter of an exact set join. Every link is confirmed on full sets.
+    components, large ones do so through the prefix and position filters of an exact set join. Every link is confirmed on full sets.
 
     Empty or null text: no shingles, linked with nothing. Null id: not compared, ``component_id`` null, ``kept`` true.
     Rows that repeat an id count as one document: its links are those of all its rows. An empty table gives an empty result.
@@ -179,14 +189,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(d.join(wanted, "id").mapInArrow(_sets, "node long, shingles array<long>"), "near-sets")
     same_id = known.select("id", "digest").join(classes, "digest").select(F.col("node").alias("a"), F.col("id").alias("b"))
 
-    edges = stored(_confirmed(_proposals(members.withColumn("label", F.col("node")), 0), sets, part, whole), "near-links")
+    edges = stored(_confirmed(_proposals(members.withColumn("label", F.col("node")), [0]), sets, part, whole), "near-links")
     links, labels = [edges], _labels(edges)
     rest = stored(_open(members, labels), "near-open")
-    for turn in range(1, STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS):
         large = rest.filter(F.col("size") > SMALL)
         if large.isEmpty():
             break
-        more = stored(_confirmed(_proposals(large, turn), sets, part, whole), "near-links")
+        more = stored(_confirmed(_proposals(large, [turn * HUBS + k + 1 for k in range(HUBS)]), sets, part, whole), "near-links")
         if more.isEmpty():
             continue
         links.append(more)
@@ -196,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = _cross(small)
     large = rest.filter(F.col("size") > SMALL)
     if not large.isEmpty():
-        pairs = pairs.unionByName(_cross(_prefixes(large, sets, part, whole))).distinct()
+        pairs = pairs.unionByName(_cross(_prefixes(large, sets, part, whole), _reachable(part, whole))).distinct()
     links.append(stored(_confirmed(pairs, sets, part, whole), "near-links"))
     # a repeated id ties the classes of its rows together
     tie = same_id.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("z")).filter("a <> z").select("b").join(same_id, "b").select("b", "a").distinct()
