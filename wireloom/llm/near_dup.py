@@ -128,9 +128,9 @@ def _proposals(members: DataFrame, turns: list[int]) -> DataFrame:
     rank = lambda t: F.col("node") if t == 0 else F.xxhash64("node", F.lit(t))
     who = lambda t: F.struct(rank(t).alias("rank"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     hubs = members.groupBy("key").agg(*[F.min(who(t)).alias(f"h{t}") for t in turns])
-    met = members.join(hubs, "key").select("node", "label", F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), F.col(f"h{t}").alias("h")) for t in turns])).alias("x"))
-    return (met.filter(F.col("label") != F.col("x.h.hub_label")).groupBy("node", "x.turn").agg(F.min("x.h").alias("h"))
-            .select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct())
+    best = lambda t: F.min(F.when(F.col("label") != F.col(f"h{t}.hub_label"), F.col(f"h{t}"))).alias(f"h{t}")
+    met = members.join(hubs, "key").groupBy("node").agg(*[best(t) for t in turns]).select("node", F.explode(F.array_distinct(F.array(*[F.col(f"h{t}.hub") for t in turns]))).alias("hub"))
+    return met.filter("hub is not null").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _cross(tokens: DataFrame, possible: Column | None = None) -> DataFrame:
