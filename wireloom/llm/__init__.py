@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-_MODULES = ("url_filter", "near_dup", "warc", "toxicity", "token_count", "sharding", "quality_rules")
+_MODULES = ("url_filter", "near_dup", "decontaminate", "warc", "toxicity", "token_count", "sharding", "mixing", "quality_rules")
 
 
 def register(name: str, sql: str | None = None):

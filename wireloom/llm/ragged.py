@@ -66,10 +66,15 @@ def texts(column: pa.Array, limit: int = SEGMENT) -> Iterator[tuple[int, int, np
 def words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and for every text (and the end) the index of its first word."""
     inside = table[data]
+    return runs(inside, inside[:-1] & inside[1:], bounds)
+
+
+def runs(inside: np.ndarray, joined: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for any marking: ``inside`` for bytes of words, ``joined`` for bytes that belong to the word of the byte after."""
     first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    edge = bounds[:-1][bounds[:-1] < len(data)]
+    first[1:] &= ~joined
+    last[:-1] &= ~joined
+    edge = bounds[:-1][bounds[:-1] < len(inside)]
     first[edge] = inside[edge]
     edge = bounds[1:][bounds[1:] > 0] - 1
     last[edge] = inside[edge]
