@@ -153,11 +153,13 @@ def train(rows: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())).cast(pa.list_(pa.int32())), batch.column(1)], names=["x", "toxic"])
 
     part = rows
-    if n0 + n1 > FIT_ROWS:
+    cut = n0 + n1 > FIT_ROWS
+    if cut:
         # the rows of smallest hash: a cut in the hash range that leaves about FIT_ROWS, and limit as the hard bound
         u = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-        part = rows.filter(u < FIT_ROWS / (n0 + n1)).limit(FIT_ROWS)
-    sample = part.select("text", "toxic").mapInArrow(features, "x array<int>, toxic int").toArrow()
+        part = rows.filter(u < FIT_ROWS / (n0 + n1))
+    sample = part.select("text", "toxic").mapInArrow(features, "x array<int>, toxic int")
+    sample = (sample.limit(FIT_ROWS) if cut else sample).toArrow()
     x = sample["x"].combine_chunks()
     at = x.offsets.to_numpy()
     flat = x.values.to_numpy()
