@@ -8,7 +8,7 @@ from ..functions import vocab as V
 from ..operators import digest as D
 from ..sources import fixture as X
 
-SOURCE = f"""src AS (SELECT claim_id AS event_id, {case_map('topic', V.TOPIC_LABELS, 'topic')} AS topic_label, summary, impact_score, last_updated_at, fingerprint, claim_hash,
+SOURCE = f"""src AS (SELECT claim_id AS event_id, topic, {case_map('topic', V.TOPIC_LABELS, 'topic')} AS topic_label, summary, impact_score, last_updated_at, fingerprint, claim_hash,
     time_bucket(INTERVAL '4' HOUR, last_updated_at) AS window_start, time_bucket(INTERVAL '4' HOUR, last_updated_at) + INTERVAL '4' HOUR AS window_end,
     trim(regexp_replace(lower(summary), '[^\\w\\s]', '', 'g')) AS summary_key
   FROM claims WHERE impact_score > 35 AND coalesce(is_published, false) = false)"""
@@ -74,8 +74,8 @@ def digest_text(spark, sf):
 _WORD = lambda k: f"('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT"
 
 
-@register("digest_input_hash", with_(CLAIMS, SOURCE) + f"""SELECT window_start, window_end, n, sha256(concat_ws('|', '3/6', strftime(window_start, '%Y-%m-%d %H:%M:%S'), strftime(window_end, '%Y-%m-%d %H:%M:%S'), n, s0, s1, s2, s3, x0, x1, x2, x3)) AS input_hash
+@register("digest_input_hash", with_(CLAIMS, SOURCE) + f"""SELECT window_start, window_end, n, sha256(concat_ws('|', '3/6', 'v1', strftime(window_start, '%Y-%m-%d %H:%M:%S'), strftime(window_end, '%Y-%m-%d %H:%M:%S'), n, s0, s1, s2, s3, x0, x1, x2, x3)) AS input_hash
 FROM (SELECT window_start, window_end, count(*) AS n, {', '.join(f'sum({_WORD(k)})::BIGINT AS s{k}' for k in range(4))}, {', '.join(f'bit_xor({_WORD(k)}) AS x{k}' for k in range(4))}
-  FROM (SELECT *, sha256(concat_ws('|', event_id, topic_label, summary, coalesce(fingerprint, '~'), coalesce(claim_hash, '~'), epoch_us(last_updated_at))) AS h FROM src) a GROUP BY window_start, window_end) b""")
+  FROM (SELECT *, sha256(concat_ws('|', event_id, topic_label, summary, coalesce(fingerprint, '~'), coalesce(claim_hash, '~'), epoch_us(last_updated_at), coalesce(topic, '~'), coalesce(round(impact_score * 1000000)::BIGINT::VARCHAR, '~'))) AS h FROM src) a GROUP BY window_start, window_end) b""")
 def digest_input_hash(spark, sf):
     return D.input_hash(source(spark, sf), "3/6")

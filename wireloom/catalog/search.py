@@ -63,13 +63,18 @@ def _routing(c):
 _ROUTING = "routing AS (SELECT claim_id AS raw_message_id, CASE WHEN impact_score >= 60 THEN 'promote' ELSE 'monitor' END AS triage_action FROM claims WHERE confidence >= 0.3)"
 
 
-@register("event_lineage", with_(*_EV, LINKS, _ROUTING) + """SELECT event_id, raw_message_id, channel, claim_topic, triage_action, total, total > 3 AS truncated, position FROM (
+_LONG_LINKS = "long_links AS (SELECT min(claim_id) OVER (PARTITION BY fingerprint) AS event_id, claim_id AS raw_message_id, created_at AS linked_at FROM claims)"
+
+
+@register("event_lineage", with_(*_EV, _LONG_LINKS, _ROUTING) + """SELECT event_id, raw_message_id, channel, claim_topic, triage_action, total, total > 100 AS truncated, position FROM (
   SELECT l.*, source_claimed AS channel, topic AS claim_topic, triage_action, count(*) OVER (PARTITION BY event_id) AS total,
     row_number() OVER (PARTITION BY event_id ORDER BY linked_at, l.raw_message_id) AS position
-  FROM links l JOIN claims c ON c.claim_id = l.raw_message_id LEFT JOIN routing r ON r.raw_message_id = l.raw_message_id) WHERE position <= 3""")
+  FROM long_links l JOIN claims c ON c.claim_id = l.raw_message_id LEFT JOIN routing r ON r.raw_message_id = l.raw_message_id) WHERE position <= 100""")
 def event_lineage(spark, sf):
     c = X.claims(spark, sf)
-    return Q.event_lineage(X.links(spark, sf), _raw(c), _claim(c), _routing(c), 3).select(
+    first = c.groupBy("fingerprint").agg(F.min("claim_id").alias("event_id"))  # one event per fingerprint: lists beyond the cap
+    links = c.select("fingerprint", F.col("claim_id").alias("raw_message_id"), F.col("created_at").alias("linked_at")).join(first, "fingerprint").drop("fingerprint")
+    return Q.event_lineage(links, _raw(c), _claim(c), _routing(c)).select(
         "event_id", "raw_message_id", "channel", "claim_topic", "triage_action", "total", "truncated", "position")
 
 
@@ -101,21 +106,21 @@ def _same(c):
   len(m) AS mismatch_count, CASE WHEN event_id IS NULL THEN 'no_linked_event' WHEN len(m) = 0 THEN 'consistent' ELSE 'inconsistent' END AS status FROM (
   SELECT c.claim_id AS raw_message_id, l.event_id, CASE WHEN l.event_id IS NULL THEN [] ELSE list_filter([{', '.join(f"CASE WHEN NOT ({_same(c)}) THEN '{c}' END" for c in _CMP)}], lambda v: v IS NOT NULL) END AS m
   FROM (SELECT *, 'p-' || sha256(summary) AS payload_hash, 'other' AS action_class, coalesce(strftime(event_time, '%Y-%m-%d'), 'unknown') AS time_bucket FROM claims) c
-  LEFT JOIN (SELECT * FROM links WHERE linked_at >= TIMESTAMP '2024-01-03') l ON l.raw_message_id = c.claim_id
+  LEFT JOIN (SELECT raw_message_id, CASE WHEN linked_at >= TIMESTAMP '2024-01-03' THEN event_id END AS event_id FROM links) l ON l.raw_message_id = c.claim_id
   LEFT JOIN (SELECT *, CASE WHEN is_breaking THEN 'operational' ELSE 'other' END AS action_class FROM evs) e ON e.event_id = l.event_id)""")
 def compare_claims_to_events(spark, sf):
     c = X.claims(spark, sf).withColumns({
         "raw_message_id": F.col("claim_id"), "payload_hash": F.concat(F.lit("p-"), F.sha2("summary", 256)), "action_class": F.lit("other"),
         "time_bucket": F.coalesce(F.date_format("event_time", "yyyy-MM-dd"), F.lit("unknown"))})
     ev = X.events(spark, sf).withColumn("action_class", F.when(F.col("is_breaking"), "operational").otherwise("other"))
-    # the links of the first two days are taken as not yet made, so that the third status occurs
-    links = X.links(spark, sf).filter(F.col("linked_at") >= ts("2024-01-03"))
+    # the links of the first two days name no event yet, so that the third status occurs
+    links = X.links(spark, sf).withColumn("event_id", F.when(F.col("linked_at") >= ts("2024-01-03"), F.col("event_id")))
     return Q.compare_claims_to_events(c, links, ev).withColumn("mismatches", F.array_join("mismatches", ","))
 
 
-@register("order_events", with_(*_EV) + f"SELECT event_id, impact_score FROM evs ORDER BY {_RANK} LIMIT 200")
+@register("order_events", with_(*_EV) + f"SELECT event_id, impact_score FROM evs ORDER BY {_RANK}")
 def order_events(spark, sf):
-    return Q.order_events(X.events(spark, sf)).select("event_id", "impact_score").limit(200)
+    return Q.order_events(X.events(spark, sf)).select("event_id", "impact_score")
 
 
 _FEED = "feed AS (SELECT *, row_number() OVER (ORDER BY event_time DESC, event_id DESC) AS position FROM evs WHERE event_time IS NOT NULL AND length(trim(summary)) > 0)"

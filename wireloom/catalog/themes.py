@@ -169,24 +169,23 @@ def assessments(spark, sf):
 
 _GATE = """CASE WHEN evidence_strength < 45 THEN 'gate:evidence_strength_below_threshold' WHEN confidence < 50 THEN 'gate:confidence_below_threshold' WHEN priority < 55 THEN 'gate:priority_below_threshold' END"""
 CARDS = f"""fresh AS (SELECT *, {_GATE} AS gate, window_end AS created_at, sha256(concat_ws('|', theme_key, lens_key, lens_pattern, lower({case_map('lens_key', {k: v[0] for k, v in V.OPPORTUNITY_TEXT.items()})}))) AS narrative_signature FROM assess),
-prior AS (SELECT a.stable_key, arg_max(b, b.created_at) AS p FROM fresh a JOIN fresh b ON a.theme_key = b.theme_key AND a.narrative_signature = b.narrative_signature AND a.cadence = b.cadence AND b.gate IS NULL
-    AND b.created_at < a.created_at AND b.created_at >= a.created_at - CASE a.cadence WHEN 'daily' THEN 7 ELSE 28 END * INTERVAL '1' DAY GROUP BY 1),
-changed AS (SELECT f.*, p.stable_key AS prior_key, CASE WHEN p.confidence IS NULL THEN NULL WHEN abs(f.confidence - p.confidence) >= 8 THEN 'material_change:confidence_delta' WHEN abs(f.priority - p.priority) >= 8 THEN 'material_change:priority_delta'
-    WHEN CASE WHEN len(f.ts) = 0 AND len(p.ts) = 0 THEN 1.0 ELSE len(list_intersect(f.ts, p.ts)) / len(list_distinct(f.ts || p.ts))::DOUBLE END <= 0.75 THEN 'material_change:supporting_evidence_shift'
-    WHEN f.assessment_status <> p.assessment_status THEN 'material_change:assessment_status_shift' END AS change FROM fresh f LEFT JOIN prior USING (stable_key)),
-cards AS (SELECT *, CASE WHEN gate IS NOT NULL THEN 'draft_only' WHEN prior_key IS NULL THEN 'emitted' WHEN change IS NOT NULL THEN 'updated' ELSE 'repeat_suppressed' END AS card_status FROM changed)"""
+fresh_order AS (SELECT *, row_number() OVER (PARTITION BY theme_key, narrative_signature ORDER BY created_at, stable_key) AS rn FROM fresh),
+chain AS (SELECT DISTINCT theme_key, narrative_signature, 0::BIGINT AS rn, [{{'us': created_at, 'id': stable_key, 'confidence': confidence, 'priority': priority, 'ts': ts, 'st': assessment_status}}][2:] AS live,
+    NULL::VARCHAR AS stable_key, NULL::VARCHAR AS prior_key, NULL::VARCHAR AS change, NULL::VARCHAR AS card_status FROM fresh_order WHERE rn = 1
+  UNION ALL SELECT theme_key, narrative_signature, rn, CASE WHEN card_status IN ('emitted', 'updated') THEN list_append(live, {{'us': created_at, 'id': stable_key, 'confidence': confidence, 'priority': priority, 'ts': ts, 'st': assessment_status}}) ELSE live END,
+    stable_key, p.id, change, card_status FROM (
+    SELECT *, CASE WHEN gate IS NOT NULL THEN 'draft_only' WHEN p IS NULL THEN 'emitted' WHEN change IS NOT NULL THEN 'updated' ELSE 'repeat_suppressed' END AS card_status FROM (
+      SELECT *, CASE WHEN p IS NULL THEN NULL WHEN abs(confidence - p.confidence) >= 8 THEN 'material_change:confidence_delta' WHEN abs(priority - p.priority) >= 8 THEN 'material_change:priority_delta'
+        WHEN CASE WHEN len(ts) = 0 AND len(p.ts) = 0 THEN 1.0 ELSE len(list_intersect(ts, p.ts)) / len(list_distinct(ts || p.ts))::DOUBLE END <= 0.75 THEN 'material_change:supporting_evidence_shift'
+        WHEN assessment_status <> p.st THEN 'material_change:assessment_status_shift' END AS change FROM (
+        SELECT o.*, c.live, list_reverse_sort(list_filter(c.live, lambda x: x.us < o.created_at AND x.us >= o.created_at - CASE o.cadence WHEN 'daily' THEN 7 ELSE 28 END * INTERVAL '1' DAY))[1] AS p
+        FROM chain c JOIN fresh_order o ON o.theme_key = c.theme_key AND o.narrative_signature = c.narrative_signature AND o.rn = c.rn + 1) z1) z2) z3),
+cards AS (SELECT f.*, c.prior_key, c.change, c.card_status FROM chain c JOIN fresh f USING (stable_key))"""
 
 
 def cards(spark, sf):
-    """Cards of every run; history are the gate-passing cards of the same cadence, made at their window end."""
-    out = None
-    a = cut_lineage(H.assessments(bundles(spark, sf)).withColumn("created_at", F.col("window_end")))
-    for cadence in H.CADENCES:
-        part = a.filter(F.col("cadence") == cadence)
-        hist = H.card_fields(part).filter(H.card_gates(part).isNull()).withColumns({"card_status": F.lit("emitted"), "card_id": F.col("stable_key")})
-        done = H.emit_cards(part, hist)
-        out = done if out is None else out.unionByName(done)
-    return out
+    """Cards of every run, made at their window end, each seeing the emitted ones before it."""
+    return cut_lineage(H.emit_cards(H.assessments(bundles(spark, sf)).withColumn("created_at", F.col("window_end"))))
 
 
 @register("card_gates", with_(*A_, CARDS) + "SELECT stable_key, gate FROM fresh")
@@ -201,9 +200,9 @@ def card_fields(spark, sf):
     return H.card_fields(H.assessments(bundles(spark, sf))).select("stable_key", "narrative_signature", "title", "what_happened")
 
 
-@register("similar_card", with_(*A_, CARDS) + "SELECT stable_key, prior_key AS prior_card_id, change FROM changed")
+@register("similar_card", with_(*A_, CARDS) + "SELECT stable_key, prior_key AS prior_card_id, change FROM cards")
 def similar_card(spark, sf):
-    return cards(spark, sf).select("stable_key", "prior_card_id", H.material_change().alias("change"))
+    return cards(spark, sf).select("stable_key", "prior_card_id", "change")
 
 
 @register("emit_cards", with_(*A_, CARDS) + """SELECT stable_key, card_status, CASE WHEN card_status = 'repeat_suppressed' THEN 'duplicate:materially_similar_recent_card' ELSE gate END AS suppression_reason,
@@ -212,9 +211,14 @@ def emit_cards(spark, sf):
     return cards(spark, sf).select("stable_key", "card_status", "suppression_reason", "material_update_reason")
 
 
-@register("briefs", with_(*A_, CARDS) + f"""SELECT {_K}, coalesce(na, 0) AS n_assessments, coalesce(ne, 0) AS n_emitted FROM bund LEFT JOIN (SELECT {_K}, count(*) AS na, count(*) FILTER (card_status IN ('emitted', 'updated')) AS ne FROM cards GROUP BY ALL) c USING ({_K})""")
+_TITLE = "'energy_to_agri_inputs: ' || CASE lens_key WHEN 'input_cost_pass_through' THEN 'Input Cost Pass Through' ELSE 'Capacity Curtailment' END || ' signal'"
+_LENS_RANK = "CASE lens_key " + " ".join(f"WHEN '{x['key']}' THEN {i}" for i, x in enumerate(V.LENSES)) + " ELSE 9 END"
+
+
+@register("briefs", with_(*A_, CARDS) + f"""SELECT {_K}, coalesce(na, 0) AS n_assessments, coalesce(ne, 0) AS n_emitted, coalesce(array_to_string(titles[1:5], '|'), '') AS highlights FROM bund
+  LEFT JOIN (SELECT {_K}, count(*) AS na, count(*) FILTER (card_status IN ('emitted', 'updated')) AS ne, list({_TITLE} ORDER BY {_LENS_RANK}) FILTER (card_status IN ('emitted', 'updated')) AS titles FROM cards GROUP BY ALL) c USING ({_K})""")
 def briefs(spark, sf):
-    return H.briefs(bundles(spark, sf), cards(spark, sf)).select(*H.KEYS, "n_assessments", "n_emitted")
+    return H.briefs(bundles(spark, sf), cards(spark, sf)).select(*H.KEYS, "n_assessments", "n_emitted", "highlights")
 
 
 @register("run_metrics", with_(*A_, CARDS) + f"""SELECT {_K}, n AS evidence_count, coalesce(na, 0) AS assessment_count, coalesce(na, 0) AS card_count, coalesce(ne, 0) AS emitted_count, coalesce(ns, 0) AS suppressed_count FROM bund

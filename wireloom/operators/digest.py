@@ -113,14 +113,19 @@ def digest_text(layout: DataFrame, source: DataFrame, by: list[str] = WINDOW) ->
     return win.join(n_source, by).select(*by, text.alias("canonical_text")).withColumn("canonical_hash", F.sha2("canonical_text", 256))
 
 
-def input_hash(source: DataFrame, limits: str, by: list[str] = WINDOW) -> DataFrame:
+def input_hash(source: DataFrame, limits: str, by: list[str] = WINDOW, prompt_version: str = "v1") -> DataFrame:
     """Identity of a window's inputs: independent of row order and built by partial aggregation, so a window of any
-    size never meets in one list. (Own hash definition.)"""
+    size never meets in one list. Every field the text depends on takes part, and the prompt version.
+
+    Own definition: 32-bit words of the row digests are summed and xor-ed, so it tells honest changes apart but is no
+    protection against rows made to collide.
+    """
     row = F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "topic_label", "summary", F.coalesce("fingerprint", F.lit("~")),
-                             F.coalesce("claim_hash", F.lit("~")), micros("last_updated_at").cast("string")), 256)
+                             F.coalesce("claim_hash", F.lit("~")), micros("last_updated_at").cast("string"),
+                             F.coalesce("topic", F.lit("~")), F.coalesce(F.round(F.col("impact_score") * 1_000_000).cast("long").cast("string"), F.lit("~"))), 256)
     word = lambda k: F.conv(F.substring(row, 1 + 8 * k, 8), 16, 10).cast("long")
     g = source.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(word(k)).alias(f"s{k}") for k in range(4)], *[F.bit_xor(word(k)).alias(f"x{k}") for k in range(4)])
-    text = F.concat_ws("|", F.lit(limits), F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), F.date_format("window_end", "yyyy-MM-dd HH:mm:ss"),
+    text = F.concat_ws("|", F.lit(limits), F.lit(prompt_version), F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), F.date_format("window_end", "yyyy-MM-dd HH:mm:ss"),
                        *[F.col(c).cast("string") for c in ("n", "s0", "s1", "s2", "s3", "x0", "x1", "x2", "x3")])
     return g.select(*by, "n", F.sha2(text, 256).alias("input_hash"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, vocab as V
@@ -363,25 +364,76 @@ def similar_card(cards: DataFrame, history: DataFrame, at: str = "created_at") -
     return c.join(best, "stable_key", "left").withColumns({**{f"p_{x}": F.col(f"_h.{x}") for x in PRIOR}, "prior_card_id": F.col("_h.id")}).drop("_h", "_now", "_lo")
 
 
-def emit_cards(assessed: DataFrame, history: DataFrame, at: str = "created_at", theme: Theme = ENERGY_TO_AGRI, dry_run: bool = False) -> DataFrame:
-    """Card status, suppression and change reason of each assessment against the card history."""
-    df = similar_card(card_fields(assessed), history, at).withColumns({"_gate": card_gates(assessed, theme), "_chg": material_change()})
-    similar = F.col("prior_card_id").isNotNull()
-    status = F.when(F.col("_gate").isNotNull(), "draft_only").when(~similar, "emitted").when(F.col("_chg").isNotNull(), "updated").otherwise("repeat_suppressed")
-    df = df.withColumn("card_status", status)
+_CHAIN = ("theme_key", "narrative_signature", "stable_key", "confidence", "priority", "top_supporting", "lens_pattern", "assessment_status")
+_CHAIN_OUT = "stable_key string, prior_card_id string, change string, card_status string"
+
+
+def _differs(a, b) -> str | None:
+    """The rule of :func:`material_change` for two rows."""
+    if b.confidence is None or b.confidence != b.confidence:
+        return None
+    limit, one, two = V.CARD_CHANGE, set(a.top_supporting), set(b.top_supporting)
+    if abs(a.confidence - b.confidence) >= limit["confidence"]:
+        return "material_change:confidence_delta"
+    if abs(a.priority - b.priority) >= limit["priority"]:
+        return "material_change:priority_delta"
+    if (len(one & two) / len(one | two) if one | two else 1.0) <= limit["overlap"]:
+        return "material_change:supporting_evidence_shift"
+    if a.lens_pattern is not None and b.lens_pattern is not None and a.lens_pattern != b.lens_pattern:
+        return "material_change:transmission_pattern_shift"
+    if a.assessment_status != b.assessment_status:
+        return "material_change:assessment_status_shift"
+    return None
+
+
+def _chain_cards(dry_run: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        live, out = [], []  # cards that count as history, in time order
+        for r in pdf.sort_values(["us", "stable_key"], kind="stable").itertuples(index=False):
+            if r.known:
+                live.append(r)
+                continue
+            near = [x for x in live if r.lo <= x.us < r.us]
+            prior = max(near, key=lambda x: (x.us, x.stable_key)) if near else None
+            change = _differs(r, prior) if prior is not None else None
+            status = "draft_only" if r.gate else "emitted" if prior is None else "updated" if change else "repeat_suppressed"
+            if status in ("emitted", "updated") and not dry_run:
+                live.append(r)
+            out.append((r.stable_key, prior.stable_key if prior is not None else None, change, status))
+        return pd.DataFrame(out, columns=["stable_key", "prior_card_id", "change", "card_status"])
+
+    return run
+
+
+def emit_cards(assessed: DataFrame, history: DataFrame | None = None, at: str = "created_at", theme: Theme = ENERGY_TO_AGRI, dry_run: bool = False) -> DataFrame:
+    """Card status, suppression and change reason of each assessment, in time order per theme and narrative.
+
+    A card is compared with the most recent card of its narrative that was emitted or updated before it inside the look-back, be it from
+    ``history`` or from the same batch, and of whatever cadence; suppressed cards and drafts never count, and cards of one moment do
+    not see each other. A narrative has at most a few cards per window, so its chain (grown with the calendar, not with the events) is one group.
+    """
+    day = 24 * HOUR
+    days = T.lookup(F.col("cadence"), V.CARD_LOOKBACK_DAYS)
+    cards = card_fields(assessed).withColumn("_gate", card_gates(assessed, theme))
+    rows = cards.select(*_CHAIN, micros(at).alias("us"), (micros(at) - days * day).alias("lo"), F.col("_gate").alias("gate"), F.lit(False).alias("known"))
+    if history is not None:
+        old = history.filter(F.col("card_status").isin("emitted", "updated")).withColumn("stable_key", F.col("card_id").cast("string"))
+        rows = rows.unionByName(old.select(*_CHAIN, micros("created_at").alias("us"), F.lit(0).cast("long").alias("lo"), F.lit(None).cast("string").alias("gate"), F.lit(True).alias("known")))
+    done = rows.groupBy("theme_key", "narrative_signature").applyInPandas(_chain_cards(dry_run), _CHAIN_OUT)
+    df = cards.join(done, "stable_key")
     why = F.when(F.col("card_status") == "repeat_suppressed", "duplicate:materially_similar_recent_card").otherwise(F.col("_gate"))
+    final = F.col("card_status")
     if dry_run:
         cut = F.col("card_status").isin("emitted", "updated")
-        why, final = F.when(cut, "dry_run:no_emit").otherwise(why), F.when(cut, "draft_only").otherwise(F.col("card_status"))
-    else:
-        final = F.col("card_status")
-    return df.withColumns({"suppression_reason": why, "material_update_reason": F.when(F.col("_gate").isNull(), F.col("_chg")), "card_status": final}).drop("_gate", "_chg")
+        why, final = F.when(cut, "dry_run:no_emit").otherwise(why), F.when(cut, "draft_only").otherwise(final)
+    return df.withColumns({"suppression_reason": why, "material_update_reason": F.when(F.col("_gate").isNull(), F.col("change")), "card_status": final}).drop("_gate")
 
 
-def briefs(bundles: DataFrame, cards: DataFrame) -> DataFrame:
-    """Summary text per run: counts and the first three emitted cards (a run has one card per lens)."""
+def briefs(bundles: DataFrame, cards: DataFrame, theme: Theme = ENERGY_TO_AGRI) -> DataFrame:
+    """Summary text per run: counts and the first three emitted cards in the order in which the theme defines its lenses (a run has one card per lens)."""
+    rank = F.coalesce(T.lookup(F.col("lens_key"), {x["key"]: i for i, x in enumerate(theme.lenses)}), F.lit(len(theme.lenses)))
     live = F.col("card_status").isin("emitted", "updated")
-    line = F.when(live, F.struct("lens_key", F.concat(F.lit("- "), "title", F.lit(" (confidence="), F.round("confidence", 1).cast("string"), F.lit(")")).alias("t"), "title"))
+    line = F.when(live, F.struct(rank.alias("rank"), "lens_key", F.concat(F.lit("- "), "title", F.lit(" (confidence="), F.round("confidence", 1).cast("string"), F.lit(")")).alias("t"), "title"))
     g = cards.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_assessments"), F.count(F.when(live, 1)).alias("n_emitted"), F.array_sort(F.collect_list(line)).alias("lines"))
     df = bundles.select(*KEYS).join(g, KEYS, "left")
     z = lambda c: F.coalesce(c, F.lit(0))

@@ -25,19 +25,16 @@ def theme_batch(events: DataFrame, evidence: DataFrame | None = None, history: D
                 cadences=("daily", "weekly"), dry_run: bool = False) -> dict[str, DataFrame]:
     """Catch-up, bundles, assessments, cards, briefs and run counts for all windows of the cadences.
 
-    ``history`` holds cards emitted before this batch; without it, every gate-passing card is new.
+    ``history`` holds cards emitted before this batch; cards of the batch see each other in time order.
     """
     missing = events if evidence is None else themes.missing_theme_evidence(events, evidence, theme)
     full = themes.theme_evidence(themes.match_theme(missing, theme), evidence)
     items = cut_lineage(themes.best_per_key(themes.windowed_evidence(full, cadences)))
     bundles = cut_lineage(themes.evidence_bundles(items))
     assessed = cut_lineage(themes.assessments(bundles, theme).withColumn("created_at", F.col("window_end")))
-    if history is None:
-        shape = themes.card_fields(assessed).withColumns({"card_status": F.lit("emitted"), "card_id": F.col("stable_key")})
-        history = shape.filter(F.lit(False))
-    cards = themes.emit_cards(assessed, history, theme=theme, dry_run=dry_run)
+    cards = cut_lineage(themes.emit_cards(assessed, history, theme=theme, dry_run=dry_run))
     return {"evidence": full, "bundles": bundles, "drivers": themes.bundle_drivers(items), "assessments": assessed, "cards": cards,
-            "briefs": themes.briefs(bundles, cards), "runs": themes.run_metrics(bundles, cards)}
+            "briefs": themes.briefs(bundles, cards, theme), "runs": themes.run_metrics(bundles, cards)}
 
 
 def memo_packs(snapshots: DataFrame, runs: DataFrame | None = None, length: str = "1 day", threshold: float = 0.58) -> dict[str, DataFrame]:
