@@ -85,7 +85,7 @@ def fold_events_actions(spark, sf):
 
 @register("fold_events_state")
 def fold_events_state(spark, sf):
-    return E.fold_events(fold_claims(spark, sf))[0].select("event_id", "identity", "topic", "latest_claim_id", "action_class", "time_bucket", "review_reason")
+    return E.fold_events(fold_claims(spark, sf))[0].select("event_id", "identity", "topic", "latest_claim_id", "action_class", "time_bucket", "review_reason", "summary", "impact_score", "is_breaking", "breaking_window")
 
 
 @register("sync_tags", with_(CLAIMS, RAW, EVENTS) + """, tagrows AS (SELECT e.event_id, unnest(r.tags) AS t, generate_subscripts(r.tags, 1) AS pos FROM evs e JOIN raw_claims r ON r.claim_id = e.latest_claim_id WHERE e.impact_score >= 50)

@@ -14,18 +14,27 @@ from ..streaming import digest as SD, ingest as SI, state as SS
 
 
 class _AsStream:
-    """Session stand-in: ``read.parquet(path)`` opens the same file as a stream, so the claim view can be reused."""
+    """Session stand-in: ``read.parquet(path)`` opens the table as a stream of several files, one per batch.
 
-    def __init__(self, spark):
-        self._spark = spark
+    The rows are cut into four parts by ``order`` and written in the sequence ``parts``: a part may come late or twice.
+    """
+
+    def __init__(self, spark, parts=(0, 2, 1, 3, 0), order="ts"):
+        self._spark, self._parts, self._order = spark, parts, order
 
     @property
     def read(self):
         return self
 
     def parquet(self, path):
-        folder, name = path.rsplit("/", 1)
-        return self._spark.readStream.schema(self._spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
+        df = self._spark.read.parquet(path)
+        folder = scratch_path(self._spark, "parts")
+        lo, hi = df.agg(F.min(self._order), F.max(self._order)).first()
+        step = (hi - lo) / 4
+        for k in self._parts:
+            part = df.filter((F.col(self._order) >= F.lit(lo + step * k)) & ((F.col(self._order) < F.lit(lo + step * (k + 1))) if k < 3 else F.lit(True)))
+            part.coalesce(1).write.mode("append").parquet(folder)
+        return self._spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _finish(query):
@@ -36,7 +45,7 @@ def _finish(query):
 
 @register("stream_ingest", f"WITH {MESSAGES}, {ENVELOPES} SELECT source_stream_id, source_message_id, min(arrival_id) AS arrival_id FROM envelopes GROUP BY 1, 2")
 def stream_ingest(spark, sf):
-    d = _AsStream(spark).parquet(f"{sf}/documents.parquet")
+    d = _AsStream(spark, (0, 1, 2, 3, 0), "doc_id").parquet(f"{sf}/documents.parquet")
     msgs = d.select(F.col("doc_id").alias("arrival_id"), T.lookup(F.col("lang"), _KIND).alias("source_type"), F.col("source").alias("source_stream_id"),
                     (F.col("doc_id") % 37).cast("string").alias("source_message_id"))
     table = scratch_path(spark, "ingest")
@@ -48,14 +57,18 @@ def stream_ingest(spark, sf):
 def stream_burst(spark, sf):
     cols = ["claim_id", "topic", "created_at", "fingerprint", "source_claimed", "impact_score", "countries", "orgs", "people", "keywords"]
     out = scratch_path(spark, "burst")
-    _finish(SS.stream_burst(X.raw_claims(_AsStream(spark), sf).select(*cols), scratch_path(spark, "recent"), out, scratch_path(spark, "ck")))
-    return spark.read.parquet(out).drop("batch")
+    _finish(SS.stream_burst(X.raw_claims(_AsStream(spark, (0, 2, 1, 3)), sf).select(*cols), scratch_path(spark, "recent"), out, scratch_path(spark, "ck")))
+    return SS.current_burst(spark.read.parquet(out))
 
 
-@register("stream_novelty")
+@register("stream_novelty", with_(CLAIMS, """rows_ AS (SELECT claim_id, fingerprint, created_at, coalesce(impact_score >= 40, false) AS ok, row_number() OVER (PARTITION BY fingerprint ORDER BY created_at, claim_id) AS rn FROM claims),
+greedy AS (SELECT claim_id, fingerprint, rn, ok AS selected, CASE WHEN ok THEN created_at END AS last FROM rows_ WHERE rn = 1
+  UNION ALL SELECT claim_id, fingerprint, rn, s, CASE WHEN s THEN created_at ELSE last END FROM (
+    SELECT r.*, g.last, r.ok AND NOT coalesce(g.last >= r.created_at - INTERVAL '3' HOUR, false) AS s FROM greedy g JOIN rows_ r ON r.fingerprint = g.fingerprint AND r.rn = g.rn + 1) z)""")
+          + "SELECT claim_id AS event_id, fingerprint AS cluster_key, selected FROM greedy")
 def stream_novelty(spark, sf):
-    """Stateful suppression; compared with the batch selection in the tests."""
-    c = X.claims(_AsStream(spark), sf).select(F.col("claim_id").alias("event_id"), F.col("fingerprint").alias("cluster_key"), F.col("created_at").alias("scored_at"),
+    """Stateful suppression over several batches in order; equal to the greedy reading of the whole table."""
+    c = X.claims(_AsStream(spark, (0, 1, 2, 3)), sf).select(F.col("claim_id").alias("event_id"), F.col("fingerprint").alias("cluster_key"), F.col("created_at").alias("scored_at"),
                                               F.coalesce(F.col("impact_score") >= 40, F.lit(False)).alias("eligible"))
     out = scratch_path(spark, "novelty")
     _finish(SS.stream_novelty(c).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start())

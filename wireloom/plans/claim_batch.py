@@ -11,6 +11,11 @@ from ..session import cut_lineage
 from ..sources.messages import extract_claims
 
 
+_TAGS = "event_id long, tag_type string, tag_value string, tag_source string, confidence double"
+_RELATIONS = ("event_id long, subject_type string, subject_value string, relation_type string, object_type string, object_value string, relation_source string, "
+              "inference_level int, confidence double")
+
+
 def claims_from_messages(messages: DataFrame) -> DataFrame:
     """Rule-based claims in the raw-claim shape. Needs claim_id, text, message_time, channel, created_at."""
     none = F.array().cast("array<string>")
@@ -35,13 +40,23 @@ def canonical_claims(raw: DataFrame) -> DataFrame:
                     *[F.col(v).alias(k) for k, v in renamed.items()])
 
 
-def claim_batch(raw: DataFrame, stored: DataFrame | None = None, state: DataFrame | None = None, slice_hours: int | None = None) -> dict[str, DataFrame]:
+def scored_claims(raw: DataFrame) -> DataFrame:
+    """Canonical claims whose score is the calibrated one; the payload hash is taken after that."""
+    c = scoring.calibrate_impact(canonical_claims(raw)).withColumn("impact_score", F.col("calibrated_score"))
+    payload = F.struct("affected_countries", "breaking_window", "confidence", "countries", "cues", F.col("direction").alias("directionality"), "event_core", "event_time", "event_type", "fingerprint",
+                       "impact_score", "is_breaking", "keywords", "market_stats", "orgs", "people", "relations", "source_claimed", "summary", "tags", "tickers", "topic")
+    return c.withColumn("payload_hash", F.sha2(F.to_json(payload, {"ignoreNullFields": "false"}), 256))
+
+
+def claim_batch(raw: DataFrame, stored: DataFrame | None = None, state: DataFrame | None = None, slice_hours: int | None = None,
+                stored_tags: DataFrame | None = None, stored_relations: DataFrame | None = None) -> dict[str, DataFrame]:
     """One batch. ``stored``: events with event_id, identity, topic, event_time, last_updated_at, ents, words, src and the
-    ``cand_`` columns of their latest claim; ``state``: the fold state of the same events.
+    ``cand_`` columns of their latest claim; ``state``: the fold state of the same events. ``stored_tags`` and
+    ``stored_relations``: facet rows of all events; those of events that the batch does not touch stay as they are.
 
     Triage looks events up as they stand before the batch; the fold itself sees every earlier claim of the batch.
     """
-    c = cut_lineage(triage.triage_features(scoring.calibrate_impact(canonical_claims(raw))).withColumn("event_fingerprint", F.col("fingerprint")))
+    c = cut_lineage(triage.triage_features(scored_claims(raw)).withColumn("event_fingerprint", F.col("fingerprint")))
     sig = events.claim_signature(c)
     if stored is None:
         seen = c.withColumns({"existing_event_id": F.lit(None).cast("long"), "cand_entities": F.lit(None).cast("array<string>"), "cand_impact": F.lit(None).cast("double"),
@@ -54,15 +69,16 @@ def claim_batch(raw: DataFrame, stored: DataFrame | None = None, state: DataFram
     routed = cut_lineage(routed)
     folded = events.claim_signature(routed.filter("event_action <> 'ignore'")).withColumn("identity", F.col("fingerprint"))
     new_state, actions = events.fold_events(folded, state, slice_hours)
-    conflicts = actions.filter("action = 'update_conflict'").join(new_state.select("event_id", "review_reason"), "event_id").select(
-        "claim_id", F.coalesce("review_reason", F.lit("material_time_bucket_shift")).alias("review_reason"))
+    conflicts = actions.filter("action = 'update_conflict'").select("claim_id", F.col("action_reason").alias("review_reason"))
     final = triage.apply_conflicts(routed, conflicts)
     links = actions.join(c.select("claim_id", "created_at"), "claim_id").select("event_id", F.col("claim_id").alias("raw_message_id"), F.col("created_at").alias("linked_at")).dropDuplicates(["event_id", "raw_message_id"])
     mentions = events.index_entities(c.withColumn("raw_message_id", F.col("claim_id")), links)
     latest = new_state.select("event_id", F.col("latest_claim_id").alias("claim_id")).join(c.select("claim_id", "tags", "relations"), "claim_id")
+    spark = raw.sparkSession
+    tags = spark.createDataFrame([], _TAGS) if stored_tags is None else stored_tags
+    relations = spark.createDataFrame([], _RELATIONS) if stored_relations is None else stored_relations
     return {"claims": final, "events": new_state, "actions": actions, "links": links, "entity_mentions": mentions,
-            "event_tags": latest.select("event_id", F.explode_outer("tags").alias("t")).filter("t IS NOT NULL").select("event_id", "t.*"),
-            "event_relations": latest.select("event_id", F.explode_outer("relations").alias("r")).filter("r IS NOT NULL").select("event_id", "r.*"),
+            "event_tags": events.sync_facets(tags, latest, "tags"), "event_relations": events.sync_facets(relations, latest, "relations"),
             "score_distribution": scoring.score_distribution(c)}
 
 

@@ -7,33 +7,45 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.asof import micros
+from ..operators.asof import micros, slice_of
 from ..operators.enrich import NOVELTY
-from ..operators.triage import burst_counts
+from ..operators.triage import BURST, burst_counts
 
 
 def stream_burst(stream: DataFrame, recent: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Burst counts per claim as it arrives. The last 15 minutes of claims wait in ``recent/batch=n`` for batch n; both
-    writes are overwrites of a folder of their batch, so a replay gives the same files. Batches follow event order."""
+    """Burst counts per claim as it arrives, in whatever order.
+
+    Claims are stored by 15-minute slot (``recent/batch=n/slot=s``). A batch reads only the slots around its own claims and counts again for
+    every claim a new one can change: those of its slot and the next. Outputs carry the batch, the latest batch of a claim holds (see
+    :func:`current_burst`). All writes overwrite a folder of their batch, so a replay gives the same files, and a
+    repeated claim changes nothing.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = batch if batch_id == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{recent}/batch={batch_id}"))
-        burst_counts(seen).join(batch.select("claim_id"), "claim_id", "left_semi").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        edge = seen.agg((F.max("created_at") - F.expr("INTERVAL 15 MINUTES")).alias("edge"))
-        tail = seen.join(F.broadcast(edge), seen["created_at"] >= F.col("edge")).drop("edge")  # edge is one row
-        tail.write.mode("overwrite").parquet(f"{recent}/batch={batch_id + 1}")
+        slot = slice_of(micros("created_at"), BURST).alias("slot")
+        batch.select("*", slot).write.mode("overwrite").partitionBy("slot").parquet(f"{recent}/batch={batch_id}")
+        stored = spark.read.schema(StructType([*batch.schema.fields, StructField("slot", LongType()), StructField("batch", LongType())])).option("basePath", recent).parquet(*[f"{recent}/batch={b}" for b in range(batch_id + 1)])
+        own = batch.select(slot).distinct()
+        near = lambda lo, hi: own.select(F.explode(F.sequence(F.col("slot") + lo, F.col("slot") + hi)).alias("slot")).distinct()
+        seen = stored.join(near(-1, 1), "slot", "left_semi").dropDuplicates(["claim_id"])  # the join prunes slot folders at run time
+        asked = seen.join(near(0, 1), "slot", "left_semi").select("claim_id")
+        burst_counts(seen.drop("slot", "batch")).join(asked, "claim_id", "left_semi").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_burst(df: DataFrame) -> DataFrame:
+    """The latest counts of every claim."""
+    cols = [c for c in df.columns if c not in ("claim_id", "batch")]
+    return df.groupBy("claim_id").agg(F.max_by(F.struct(*cols), "batch").alias("x")).select("claim_id", "x.*")
+
+
 def _novelty(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
-    if state.hasTimedOut:
-        state.remove()
-        return
     rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
     chosen = []
     for us, ok in zip(rows["us"], rows["eligible"]):
@@ -43,14 +55,15 @@ def _novelty(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
             last = int(us)
     if last is not None:
         state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + NOVELTY // 1000 + 1, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "cluster_key": key[0], "selected": chosen})
 
 
-def stream_novelty(stream: DataFrame, watermark: str = "3 hours") -> DataFrame:
-    """Selection with three-hour suppression per cluster key. State is one time stamp per key and leaves when the
-    watermark passes it. Needs event_id, cluster_key, scored_at (timestamp), eligible."""
-    timed = stream.withColumn("scored_at", F.col("scored_at").cast("timestamp")).withWatermark("scored_at", watermark)
-    slim = timed.select("cluster_key", "scored_at", F.unix_micros("scored_at").alias("us"), "event_id", "eligible")
+def stream_novelty(stream: DataFrame) -> DataFrame:
+    """Selection with three-hour suppression per cluster key, one answer for every row however late it comes.
+
+    There is no watermark and no time-out, so nothing is dropped and no key is forgotten; state is one time stamp per key. A late row
+    is held against the last selection. Needs event_id, cluster_key, scored_at, eligible.
+    """
+    slim = stream.select("cluster_key", F.unix_micros(F.col("scored_at").cast("timestamp")).alias("us"), "event_id", "eligible")
     return slim.groupBy("cluster_key").applyInPandasWithState(
-        _novelty, "event_id long, cluster_key string, selected boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+        _novelty, "event_id long, cluster_key string, selected boolean", "last long", "append", GroupStateTimeout.NoTimeout)
