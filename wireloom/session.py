@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -48,6 +50,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for sessions whose executors do not have it installed. Once per context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_wireloom_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "wireloom"), "zip", os.path.dirname(root), os.path.basename(root))
+        sc.addPyFile(archive)
+        sc._wireloom_shipped = True
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores (one small file) is dealt out to all cores; a large scan stays as it is."""
     if df.isStreaming:
