@@ -89,19 +89,22 @@ def capped_sql_report(spark, sf):
     return adhoc.capped_sql(spark, _QUERY, 40)[1]
 
 
-@register("merge_artifacts", """WITH new AS (SELECT doc_id + 1000000 AS artifact_id, sha256(source || '|' || n_chars) AS input_hash, sha256(text) AS canonical_hash FROM documents),
+@register("merge_artifacts", """WITH RECURSIVE new AS (SELECT row_number() OVER (ORDER BY doc_id) AS rn, doc_id + 1000000 AS artifact_id, CASE WHEN doc_id % 10 <> 0 THEN sha256(source || '|' || n_chars // 1000) END AS i, sha256(text) AS c FROM documents),
 stored AS (SELECT min(doc_id) AS artifact_id, CASE WHEN min(l.quality) = 1 THEN sha256(min(d.source || '|' || n_chars)) END AS input_hash, sha256(text) AS canonical_hash
   FROM documents d JOIN labels l USING (doc_id) GROUP BY text),
-unk AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.input_hash = n.input_hash)),
-fill AS (SELECT canonical_hash, arg_min(input_hash, artifact_id) AS f FROM unk GROUP BY 1),
-t1 AS (SELECT * FROM unk u WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.canonical_hash = u.canonical_hash)
-       QUALIFY row_number() OVER (PARTITION BY canonical_hash ORDER BY artifact_id) = 1)
-SELECT artifact_id, coalesce(input_hash, f) AS input_hash, canonical_hash, 'stored' AS origin FROM stored LEFT JOIN fill USING (canonical_hash)
-UNION ALL SELECT artifact_id, input_hash, canonical_hash, 'inserted' FROM t1 QUALIFY row_number() OVER (PARTITION BY input_hash ORDER BY artifact_id) = 1""")
+run AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS artifact_id, NULL::VARCHAR AS i, NULL::VARCHAR AS c, 'start' AS act, (SELECT list(input_hash) FILTER (input_hash IS NOT NULL) FROM stored) AS inputs,
+    (SELECT list(canonical_hash) FROM stored) AS texts, (SELECT list(canonical_hash) FILTER (input_hash IS NULL) FROM stored) AS bare
+  UNION ALL SELECT rn, artifact_id, i, c, act, CASE WHEN act <> 'reuse' AND i IS NOT NULL THEN list_append(inputs, i) ELSE inputs END, CASE WHEN act = 'insert' THEN list_append(texts, c) ELSE texts END,
+    CASE WHEN act = 'fill' THEN list_filter(bare, lambda x: x <> c) WHEN act = 'insert' AND i IS NULL THEN list_append(bare, c) ELSE bare END FROM (
+    SELECT n.*, inputs, texts, bare, CASE WHEN i2 IS NOT NULL AND list_contains(inputs, i2) THEN 'reuse' WHEN NOT list_contains(texts, c2) THEN 'insert' WHEN i2 IS NOT NULL AND list_contains(bare, c2) THEN 'fill' ELSE 'reuse' END AS act
+    FROM (SELECT r.rn AS at, r.inputs, r.texts, coalesce(r.bare, []) AS bare FROM run r) r JOIN (SELECT *, i AS i2, c AS c2 FROM new) n ON n.rn = r.at + 1) z),
+al AS (SELECT artifact_id, input_hash, canonical_hash, 'stored' AS origin FROM stored UNION ALL SELECT artifact_id, i, c, 'inserted' FROM run WHERE act = 'insert')
+SELECT artifact_id, coalesce(input_hash, f.i) AS input_hash, canonical_hash, origin FROM al LEFT JOIN (SELECT c, i FROM run WHERE act = 'fill') f ON f.c = al.canonical_hash""")
 def merge_artifacts(spark, sf):
     d = _docs(spark, sf)
     ident = F.concat_ws("|", "source", F.col("n_chars").cast("string"))
-    new = d.select((F.col("doc_id") + 1_000_000).alias("artifact_id"), F.sha2(ident, 256).alias("input_hash"), F.sha2("text", 256).alias("canonical_hash"))
+    shared = F.sha2(F.concat_ws("|", "source", F.floor(F.col("n_chars") / 1000).cast("string")), 256)  # inputs repeat with other texts
+    new = d.select((F.col("doc_id") + 1_000_000).alias("artifact_id"), F.when(F.col("doc_id") % 10 != 0, shared).alias("input_hash"), F.sha2("text", 256).alias("canonical_hash"))
     stored = d.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy(F.sha2("text", 256).alias("canonical_hash")).agg(
         F.min("doc_id").alias("artifact_id"), F.when(F.min("quality") == 1, F.sha2(F.min(ident), 256)).alias("input_hash"))
     return M.merge_artifacts(new, stored.select("artifact_id", "input_hash", "canonical_hash"))

@@ -61,8 +61,6 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores (one small file) is dealt out to all cores; a large scan stays as it is."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """On one machine, a table of a single row group is dealt out to all cores. On a cluster a scan stays as it is."""
+    sc = df.sparkSession.sparkContext
+    return df if df.isStreaming or not sc.master.startswith("local[") else df.repartition(sc.defaultParallelism)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import text as X, vocab as V
+from ..session import cut_lineage
 from ..operators.asof import HOUR, latest_per_key, micros, previous_within
 
 PAYLOAD = T.StructType([
@@ -115,18 +116,44 @@ def eligible(raw: DataFrame, state: DataFrame, as_of, n: int) -> DataFrame:
     return joined.filter(due).orderBy(F.desc("message_timestamp_utc"), F.desc("raw_message_id")).limit(n)
 
 
-def merge_artifacts(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Artifact table after a batch: equal input hash or equal text returns the stored row (a missing input hash is
-    filled), anything else is inserted. Columns: artifact_id, input_hash, canonical_hash, origin."""
-    known = existing.filter(F.col("input_hash").isNotNull() & (F.col("input_hash") != "")).select("input_hash").distinct()
-    unknown = new.join(known, "input_hash", "left_anti")
-    fills = latest_per_key(unknown, ["canonical_hash"], ["artifact_id"]).select("canonical_hash", F.col("input_hash").alias("_fill"))
-    kept = existing.join(fills, "canonical_hash", "left").select(
-        "artifact_id", F.coalesce(F.when(F.col("input_hash") != "", F.col("input_hash")), "_fill").alias("input_hash"),
-        "canonical_hash", F.lit("stored").alias("origin"))
-    fresh = unknown.join(existing.select("canonical_hash"), "canonical_hash", "left_anti")
-    fresh = latest_per_key(latest_per_key(fresh, ["canonical_hash"], ["artifact_id"]), ["input_hash"], ["artifact_id"])
-    return kept.unionByName(fresh.select("artifact_id", "input_hash", "canonical_hash", F.lit("inserted").alias("origin")))
+def merge_artifacts(new: DataFrame, existing: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """Artifact table after a batch, as if its rows came one by one in id order.
+
+    A row whose input hash is known returns that artifact. Otherwise a row whose text is known returns the artifact of the text, and fills its
+    input hash if that is missing. Anything else is inserted. A missing (null or empty) input hash is never known.
+    Columns: artifact_id, input_hash, canonical_hash, origin.
+
+    Each round decides all rows that come first both for their text and for their input; rows that meet something known need no turn. So the
+    rounds follow the longest chain of rows that hinge on each other, not the number of rows.
+    """
+    inp = F.when(F.col("input_hash") != "", F.col("input_hash")).alias("input_hash")
+    stored = existing.select("artifact_id", inp, "canonical_hash")
+    open_rows = cut_lineage(new.select("artifact_id", inp, "canonical_hash"))
+    inputs = stored.filter("input_hash is not null").select("input_hash").distinct()
+    texts = stored.groupBy("canonical_hash").agg(F.max(F.col("input_hash").isNotNull()).alias("full"))
+    inserted = open_rows.limit(0)
+    fills = open_rows.limit(0).select("canonical_hash", F.col("input_hash").alias("fill"))
+    for _ in range(max_rounds):
+        rest = open_rows.join(inputs, "input_hash", "left_anti").select("artifact_id", "input_hash", "canonical_hash").join(texts, "canonical_hash", "left")
+        rest = cut_lineage(rest.filter("full is null or (not full and input_hash is not null)"))
+        if rest.isEmpty():
+            break
+        by_text = rest.groupBy("canonical_hash").agg(F.min("artifact_id").alias("t"))
+        by_input = rest.filter("input_hash is not null").groupBy("input_hash").agg(F.min("artifact_id").alias("i"))
+        ranked = rest.join(by_text, "canonical_hash").join(by_input, "input_hash", "left")
+        first = (F.col("artifact_id") == F.col("t")) & (F.col("i").isNull() | (F.col("artifact_id") == F.col("i")))
+        ranked = cut_lineage(ranked.select("artifact_id", "input_hash", "canonical_hash", "full", first.alias("now")))
+        now = ranked.filter("now")
+        inserted = inserted.unionByName(now.filter("full is null").select("artifact_id", "input_hash", "canonical_hash"))
+        fills = fills.unionByName(now.filter("full is not null").select("canonical_hash", F.col("input_hash").alias("fill")))
+        inputs = cut_lineage(inputs.unionByName(now.filter("input_hash is not null").select("input_hash")).distinct())
+        told = now.select("canonical_hash", F.col("input_hash").isNotNull().alias("full"))
+        texts = cut_lineage(texts.unionByName(told).groupBy("canonical_hash").agg(F.max("full").alias("full")))
+        open_rows = ranked.filter("not now").select("artifact_id", "input_hash", "canonical_hash")
+    else:
+        raise RuntimeError(f"artifacts did not settle in {max_rounds} rounds")
+    both = stored.withColumn("origin", F.lit("stored")).unionByName(inserted.withColumn("origin", F.lit("inserted")))
+    return both.join(fills, "canonical_hash", "left").select("artifact_id", F.coalesce("input_hash", "fill").alias("input_hash"), "canonical_hash", "origin")
 
 
 def due_publications(artifacts: DataFrame, ledger: DataFrame, destinations: list[str]) -> DataFrame:
