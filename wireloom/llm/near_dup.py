@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import register
+from .linked import labels_of
 from .ragged import blank_words, hash_windows, hash_words, mix, texts, words
 from .store import stored
-from ..operators.graph import components
 
 SIZE = 5          # words of a shingle
 PERMUTATIONS = 64  # each gives a minimum and a maximum: 128 signature values
@@ -111,11 +111,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> Data
             .select("a", "b", both.alias("both"), (na + nb).alias("sum")).filter(F.col("both") * whole >= (F.col("sum") - F.col("both")) * part).select("a", "b"))
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """(node, label) of all linked nodes. An edge is a star of two around its first node."""
-    return components(edges.select(F.col("a").alias("node"), F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("key"))))
-
-
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their label, of the buckets whose members do not all belong together yet."""
     m = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
@@ -190,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = known.select("id", "digest").join(classes, "digest").select(F.col("node").alias("a"), F.col("id").alias("b"))
 
     edges = stored(_confirmed(_proposals(members.withColumn("label", F.col("node")), [0]), sets, part, whole), "near-links")
-    links, labels = [edges], _labels(edges)
+    links, labels = [edges], labels_of(edges)
     rest = stored(_open(members, labels), "near-open")
     for turn in range(STAR_ROUNDS):
         large = rest.filter(F.col("size") > SMALL)
@@ -200,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if more.isEmpty():
             continue
         links.append(more)
-        labels = _labels(reduce(DataFrame.unionByName, links))
+        labels = labels_of(reduce(DataFrame.unionByName, links))
         rest = stored(_open(members, labels), "near-open")
     small = rest.filter(F.col("size") <= SMALL).select(F.col("key").alias("token"), "node", "label")
     pairs = _cross(small)
@@ -211,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a repeated id ties the classes of its rows together
     tie = same_id.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("z")).filter("a <> z").select("b").join(same_id, "b").select("b", "a").distinct()
     links.append(tie.select("a", "b"))
-    labels = stored(_labels(reduce(DataFrame.unionByName, links)), "near-labels")
+    labels = stored(labels_of(reduce(DataFrame.unionByName, links)), "near-labels")
     top = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     named = known.select("id", "n_shingles", "digest").join(top, "digest").select("id", "n_shingles", "component_id")
     alone = sig.filter("id is null or digest is null").select("id", "n_shingles", F.col("id").alias("component_id"))
