@@ -21,6 +21,7 @@ BANDS = 32        # of two minima and two maxima each; a pair at 0.75 is missed
 SMALL = 16        # members up to which the open pairs of a bucket are compared one by one
 STAR_ROUNDS = 2   # rounds in which large open buckets try further hubs
 HUBS = 8          # hubs a member meets in such a round
+CHUNK = 1024      # about as many members of a bucket learn in one task what is known of it
 
 _RNG = np.random.default_rng(4711)
 _A = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,20 +112,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> Data
             .select("a", "b", both.alias("both"), (na + nb).alias("sum")).filter(F.col("both") * whole >= (F.col("sum") - F.col("both")) * part).select("a", "b"))
 
 
+def _told(members: DataFrame, per_key: DataFrame) -> DataFrame:
+    """Members joined with the one row of their bucket; a large bucket is dealt to several tasks, with its row repeated in each."""
+    pieces = F.ceil(F.col("size") / CHUNK)
+    rows = per_key.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("size")
+    return members.withColumn("piece", F.pmod(F.xxhash64("node"), pieces)).join(rows, ["key", "piece"]).drop("piece")
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their label, of the buckets whose members do not all belong together yet."""
     m = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
-    keys = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    return m.join(keys, "key")
+    keys = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("size").alias("size")).filter("lo <> hi").select("key", "size")
+    return _told(m, keys)
 
 
 def _proposals(members: DataFrame, turns: list[int]) -> DataFrame:
     """At most one pair for each member and turn: it meets the hub (smallest by a hash of the turn) of one of its buckets."""
     rank = lambda t: F.col("node") if t == 0 else F.xxhash64("node", F.lit(t))
     who = lambda t: F.struct(rank(t).alias("rank"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    hubs = members.groupBy("key").agg(*[F.min(who(t)).alias(f"h{t}") for t in turns])
+    hubs = members.groupBy("key").agg(*[F.min(who(t)).alias(f"h{t}") for t in turns], F.max("size").alias("size"))
     best = lambda t: F.min(F.when(F.col("label") != F.col(f"h{t}.hub_label"), F.col(f"h{t}"))).alias(f"h{t}")
-    met = members.join(hubs, "key").groupBy("node").agg(*[best(t) for t in turns]).select("node", F.explode(F.array_distinct(F.array(*[F.col(f"h{t}.hub") for t in turns]))).alias("hub"))
+    met = _told(members, hubs).groupBy("node").agg(*[best(t) for t in turns]).select("node", F.explode(F.array_distinct(F.array(*[F.col(f"h{t}.hub") for t in turns]))).alias("hub"))
     return met.filter("hub is not null").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
