@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
+PARTS = 16  # slices of a look-back horizon
 
 
 def micros(col: Column | str) -> Column:
@@ -29,16 +30,18 @@ def previous_within(df: DataFrame, keys: Sequence[str], us: str, tie: str, horiz
                     out: str = "prev", among: Column | None = None) -> DataFrame:
     """Latest earlier row of the same key at most ``horizon`` microseconds before, as struct ``out`` (or null).
 
-    ``among`` limits which rows can be found. Running maximum inside a slice; where that finds nothing, the last row
-    of the slice before.
+    ``among`` limits which rows can be found. A slice is a part of the horizon, so a key that fills one window of time
+    is sorted in many tasks: the running maximum inside a slice comes first, and where that finds nothing, the last
+    row of the slices before, which are one row each.
     """
-    cut = df.withColumn("_slice", slice_of(F.col(us), horizon))
+    cut = df.withColumn("_slice", slice_of(F.col(us), max(horizon // PARTS, 1)))
     item = F.struct(F.col(us).alias("us"), F.col(tie).alias("tie"), *[F.col(c) for c in carry])
     item = item if among is None else F.when(among, item)
     before = W.partitionBy(*keys, "_slice").orderBy(us, tie).rowsBetween(W.unboundedPreceding, -1)
     inside = cut.withColumn("_in", F.last(item, ignorenulls=True).over(before))
-    tails = cut.groupBy(*keys, (F.col("_slice") + 1).alias("_slice")).agg(
-        F.max_by(item, F.when(item.isNotNull(), F.struct(us, tie))).alias("_tail"))
+    ends = cut.groupBy(*keys, "_slice").agg(F.max_by(item, F.when(item.isNotNull(), F.struct(us, tie))).alias("_end"))
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    tails = ends.withColumn("_tail", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
     best = F.coalesce("_in", "_tail")
     return (
         inside.join(tails, [*keys, "_slice"], "left")
