@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from wireloom.llm import near_dup
 from wireloom.llm.near_dup import near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,6 +61,11 @@ def test_edited_families_and_copies(spark):
     check(spark, list(enumerate(texts)))
 
 
+def test_large_buckets_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CHUNK", 7)  # buckets of the family then span many pieces
+    check(spark, list(enumerate(family(120, 6, 9) + ["a b c d e f"] * 20 + ["", None])))
+
+
 def test_repeated_ids_nulls_and_empty_table(spark):
     check(spark, [])
     text = family(1, 5, 1)[0]
