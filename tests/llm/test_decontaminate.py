@@ -47,3 +47,18 @@ def test_templates_and_edges(spark):
     left = decontaminate(docs, bench)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {3, 4, 5, 6, 7, 8, None}
     assert find_leaks(docs.limit(0), bench).collect() == [] and find_leaks(docs, bench.limit(0)).collect() == []
+
+
+LONG = "A farmer named Tom Miller has 12 apples and gives Anna 5 of them. After 3 days he buys 7 kg more. How many apples does Tom Miller keep if Anna eats 5 again?"
+
+
+def leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in find_leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+
+
+def test_one_odd_value_keeps_the_rest(spark):
+    swap = lambda t, pairs: re.sub("|".join(map(re.escape, pairs)), lambda m: pairs[m[0]], t)
+    renamed = swap(LONG, {"Tom Miller": "Boris", "12": "1,450", "Anna": "Maria", "3": "4", "7 kg": "9 lbs"})
+    same = swap(LONG, {"Tom Miller": "Boris", "12": "14", "Anna": "Maria", "5": "4", "3": "4", "7 kg": "4 lbs"})
+    assert leaks(spark, [renamed.replace("eats 5", "eats 6"), same], [LONG]) == {(0, 0), (1, 0)}

@@ -129,8 +129,8 @@ def _windows(df: DataFrame, sketch: np.ndarray | None) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cover: float = COVER) -> DataFrame:
     """One row per document and benchmark item it contains: ``doc_id``, ``item_id``, ``n_windows``, ``item_windows``, ``coverage``, ``exact``.
 
-    Windows of one document and item that stand on one diagonal are aligned; a diagonal counts if every value of an item's slot stands
-    for one value of the document and the other way round. ``coverage`` is the share of the item's windows that such diagonals
+    Windows of one document and item that stand on one diagonal are aligned; on a diagonal every value of the item's slots stands
+    for one value of the document, the one most of its places have; windows over a place that is neither equal nor has that value don't count. ``coverage`` is the share of the item's windows that such diagonals
     hold, at least ``cover``; ``exact`` says that one of them holds only equal values, otherwise the item was re-parameterised.
 
     Null ids and texts, and texts and items of fewer than WINDOW template tokens (or without a window of LITERALS words), are contained nowhere and contain nothing.
@@ -142,12 +142,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     sketch = np.sort(keys.view(np.uint64)) if len(keys) <= SKETCH_ROWS else None
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     hits = _windows(rows, sketch).join(small_side(index, SKETCH_ROWS), "hash")
-    filled = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
+    filled = F.expr("filter(transform(item_slots, (i, k) -> struct(item_place + k AS at, i AS i, slots[k] AS d)), x -> x.i <> 0)")
     lines = hits.select("id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place", filled.alias("pairs"))
     # an item bounds what a diagonal gathers: its windows and its slots
     per = lines.groupBy("id", "item_id", "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side]))) == F.size("pairs")
-    good = per.filter(one("i") & one("d")).select("id", "item_id", F.forall("pairs", lambda x: x["i"] == x["d"]).alias("exact"), F.explode("places").alias("item_place"))
+    odd = F.expr("transform(filter(pairs, x -> x.i <> x.d AND 2 * size(filter(pairs, y -> y.i = x.i AND y.d = x.d)) <= size(filter(pairs, y -> y.i = x.i))), x -> x.at)")
+    kept = per.withColumn("odd", odd).withColumn("places", F.expr(f"filter(places, p -> NOT exists(odd, a -> a >= p AND a < p + {WINDOW}))"))
+    good = kept.select("id", "item_id", F.forall("pairs", lambda x: x["i"] == x["d"]).alias("exact"), F.explode("places").alias("item_place"))
     found = good.groupBy("id", "item_id", "item_place").agg(F.max("exact").alias("exact")).groupBy("id", "item_id").agg(F.count("*").alias("n_windows"), F.max("exact").alias("exact"))
     size = index.groupBy("item_id").agg(F.countDistinct("item_place").alias("item_windows"))
     share = F.col("n_windows") / F.col("item_windows")
