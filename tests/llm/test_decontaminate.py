@@ -62,3 +62,8 @@ def test_one_odd_value_keeps_the_rest(spark):
     renamed = swap(LONG, {"Tom Miller": "Boris", "12": "1,450", "Anna": "Maria", "3": "4", "7 kg": "9 lbs"})
     same = swap(LONG, {"Tom Miller": "Boris", "12": "14", "Anna": "Maria", "5": "4", "3": "4", "7 kg": "4 lbs"})
     assert leaks(spark, [renamed.replace("eats 5", "eats 6"), same], [LONG]) == {(0, 0), (1, 0)}
+
+
+def test_case_and_punctuation(spark):
+    item = "When did Carla Weber meet Otto. Paris was cold. Rome was not. Maybe Lisbon. Then Oslo again. So Carla left Paris. Why did Otto stay there?"
+    assert leaks(spark, [item.lower(), item.upper(), item.replace(".", ";"), re.sub(r"[.?]", "", item)], [item]) == {(k, 0) for k in range(4)}
