@@ -67,3 +67,11 @@ def test_one_odd_value_keeps_the_rest(spark):
 def test_case_and_punctuation(spark):
     item = "When did Carla Weber meet Otto. Paris was cold. Rome was not. Maybe Lisbon. Then Oslo again. So Carla left Paris. Why did Otto stay there?"
     assert leaks(spark, [item.lower(), item.upper(), item.replace(".", ";"), re.sub(r"[.?]", "", item)], [item]) == {(k, 0) for k in range(4)}
+
+
+def test_short_items_edits_and_quotes(spark):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(120)]
+    items = ["Who wrote it?", "12 + 30 = 42, 7 + 8 = 15, 9 + 9 = 18", *[" ".join(words[:n]) for n in (9, 15, 16, 17, 22)], " ".join(words[20:])]
+    edited = [" ".join(words[:n // 2] + ["other"] + words[n // 2 + 1:n]) for n in (9, 15, 16, 17, 22)]
+    got = leaks(spark, ["well who wrote it then", "see 12 + 30 = 42, 7 + 8 = 15, 9 + 9 = 18 there", *edited, "so " + " ".join(words[50:65]) + " so", "nothing of that"], items)
+    assert {(k, k) for k in range(7)} <= got and (7, 7) in got and not any(d == 8 for d, _ in got)

@@ -15,7 +15,9 @@ from .store import small_side, stored
 
 WINDOW = 8            # template tokens of a window
 LITERALS = 4          # of which at least so many are words, not slots
-COVER = 0.5           # of an item's windows that a document must hold
+COVER = 0.5           # of an item's windows, or of its words in verbatim runs, that a document must hold
+RUN = 13              # words of a verbatim run that is a leak, whatever share of the item it is
+SHORT = 4             # words of a literal window of items of WINDOW to 2 * WINDOW words
 SKETCH_ROWS = 2_000_000  # benchmark windows up to which their hashes go along with the scan; beyond, all windows meet in the join
 
 # fixed values: words that are numbers, and units if a number stands before
@@ -38,8 +40,8 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _size_of(n: int) -> int:
-    """Words of a literal window of an item of ``n`` words."""
-    return WINDOW
+    """Words of a literal window of an item of ``n`` words: all of a short item; a few while a changed word in the middle could leave no whole WINDOW beside it."""
+    return n if n < WINDOW else WINDOW if n > 2 * WINDOW else SHORT
 
 
 def text_windows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -120,7 +122,10 @@ def _windows(df: DataFrame, sketch: np.ndarray | None, sizes: list[int] | None =
                 forms = [(0, h, place)]
                 for size in sizes if sizes is not None else [_size_of(len(word))]:
                     found = hash_windows(word, size) ^ _LITERAL
-                    forms.append((size, found, np.arange(len(found))))
+                    place = np.arange(len(found))
+                    if sketch is not None and size not in (SHORT, WINDOW):  # a whole short item: where it stands first is enough
+                        found, place = np.unique(found, return_index=True)
+                    forms.append((size, found, place))
                 for size, h, place in forms:
                     if sketch is not None:
                         hit = _among(h, sketch)
@@ -150,10 +155,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Windows of one document and item that stand on one diagonal are aligned; on a diagonal every value of the item's slots stands
     for one value of the document, the one most of its places have; windows over a place that is neither equal nor has that value don't count. Windows also meet
     by their words alone, lower-cased, so that case and punctuation lose nothing. ``coverage``, at least ``cover``, is the share of the item's template windows held by
-    either form, or of its words in aligned verbatim runs, whichever is more; ``exact`` says that there is a verbatim run or a diagonal of only equal values,
+    either form, or of its words in aligned verbatim runs, whichever is more (less than ``cover`` if a run has RUN words); ``exact`` says that there is a verbatim run or a diagonal of only equal values,
     otherwise the item was re-parameterised.
 
-    Null ids and texts, and texts and items of fewer than WINDOW words, are contained nowhere and contain nothing.
+    Null ids and texts, and texts without a word, are contained nowhere and contain nothing. An item of fewer than WINDOW words is contained where all its words stand.
     Rows that repeat an id count as one document, repeated items as one item. Empty tables give an empty result.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).filter("id is not null")
@@ -188,7 +193,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         near.select("id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(True).alias("exact"), "words", "longest"))
     found = both.groupBy("id", "item_id").agg(*[F.max(c).alias(c) for c in ("n_windows", "exact", "words", "longest")])
     share = F.greatest(F.coalesce(F.try_divide("n_windows", "item_windows"), F.lit(0.0)), F.col("words") / F.col("item_words"))
-    return found.join(sizes_of, "item_id").filter(share >= cover).select(F.col("id").alias("doc_id"), "item_id", "n_windows", "item_windows", share.alias("coverage"), "exact")
+    return found.join(sizes_of, "item_id").filter((share >= cover) | (F.col("longest") >= RUN)).select(F.col("id").alias("doc_id"), "item_id", "n_windows", "item_windows", share.alias("coverage"), "exact")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
