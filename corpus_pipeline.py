@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wireloom.llm.decontaminate import decontaminate
-from wireloom.llm.mixing import mix
+from wireloom.llm.mixing import sample
 from wireloom.llm.near_dup import near_duplicates
 from wireloom.llm.sharding import shard_rows
 from wireloom.llm.store import stored
@@ -33,8 +33,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn for the target mix of sources, languages and topics."""
-    return mix(docs).filter("sampled").select(docs.columns)
+    """Documents drawn for the target mix of sources, languages and topics; where a kind is scarce, its documents repeat."""
+    return sample(docs)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

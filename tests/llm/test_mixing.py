@@ -2,9 +2,11 @@
 
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from wireloom.llm.mixing import BUDGET, MARGINS, TARGETS, mix
+import corpus_pipeline
+from wireloom.llm.mixing import BUDGET, MARGINS, TARGETS, mix, rake, tokens_of, topic_of
 
 
 def plain(rows):
@@ -56,3 +58,23 @@ def test_edges(spark):
     assert len({r.sampled for r in got if r.doc_id == 1}) == 1
     assert all(r.sampled for r in mix(docs, budget=1.0, targets={}).collect())
     assert mix(docs.limit(0)).collect() == []
+
+
+def test_pipeline_stage_meets_targets_unweighted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    before, after = ([tuple(r) for r in d.select("source", "lang", topic_of(F.col("text")), tokens_of(F.coalesce("text", F.lit("")))).collect()] for d in (docs, corpus_pipeline.sample_mix(spark, docs, None)))
+    _, weight = plain(before)
+    total, kept = sum(weight.values()), sum(r[3] for r in after)
+    for d in range(3):
+        want, have = defaultdict(float), defaultdict(float)
+        for k, w in weight.items():
+            want[k[d]] += w / total
+        for *k, n in after:
+            have[k[d]] += n / kept
+        assert all(abs(have[v] - want[v]) < 0.01 for v in want)
+
+
+def test_unmet_marginals_are_reported(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 10), ("b", "de", "x", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="off its target"):
+        rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}).collect()

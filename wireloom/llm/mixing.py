@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import register
@@ -44,7 +46,8 @@ def rake(cells: DataFrame, targets: dict = TARGETS) -> DataFrame:
     """Cells with ``weight``: their tokens scaled by iterative proportional fitting until every marginal has its target share.
 
     ``cells`` has one row per combination of the margins with ``tokens`` above zero. A round scales to each margin in turn, each one window
-    sum over the cells. Marginals that cannot be met together (empty combinations) end after MAX_JOBS * ROUNDS rounds at the closest fit found.
+    sum over the cells. Marginals that cannot be met together (empty combinations) end after MAX_JOBS * ROUNDS rounds at the closest fit found,
+    with a warning that names the gap.
     """
     total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
@@ -64,8 +67,11 @@ def rake(cells: DataFrame, targets: dict = TARGETS) -> DataFrame:
         for d in MARGINS:
             checked = checked.withColumn(f"g_{d}", F.abs(F.sum("weight").over(Window.partitionBy(d)) / (F.col(f"t_{d}") * F.lit(float(total))) - 1))
             gap = F.greatest(gap, F.col(f"g_{d}"))
-        if checked.agg(F.max(gap)).first()[0] < TOLERANCE:
+        left = checked.agg(F.max(gap)).first()[0]
+        if left < TOLERANCE:
             break
+    else:
+        warnings.warn(f"raking ended after {MAX_JOBS * ROUNDS} rounds with a marginal {left:.3g} off its target share", stacklevel=2)
     return w.select(*cells.columns, "weight")
 
 
@@ -84,16 +90,17 @@ def _scale(cells: DataFrame, budget: float) -> float:
 
 
 def mix(docs: DataFrame, targets: dict = TARGETS, budget: float = BUDGET, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
-    """All columns of ``docs`` with ``topic``, ``n_tokens``, ``probability``, ``sample_weight`` and ``sampled``.
+    """All columns of ``docs`` with ``topic``, ``n_tokens``, ``probability``, ``sample_weight``, ``sampled`` and ``copies``.
 
     Token sums per source, language and topic are raked to the target marginals. A document is kept with probability min(1, c * raked / present
     tokens of its cell), where c spends the budget; ``sample_weight`` is what the cap at 1 leaves (1 elsewhere), so that weighted samples
-    meet the marginals. The draw is a hash of seed, id and text: the same rows give the same sample wherever they lie.
+    meet the marginals. ``copies`` says the same in whole rows: a sampled document is taken sample_weight times, its fraction drawn (0 if not sampled), so that scarce
+    documents repeat and the copies meet the marginals unweighted. The budget counts each document once; copies come on top. The draw is a hash of seed, id and text: the same rows give the same sample wherever they lie.
 
     Null source, language or text count as values of their own (a null text is one token of prose). Rows equal in id and text are drawn alike. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    extra = ("topic", "n_tokens", "probability", "sample_weight", "sampled")
+    extra = ("topic", "n_tokens", "probability", "sample_weight", "sampled", "copies")
     base = docs.drop(*extra)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.lit(1 << 40)) / F.lit(float(1 << 40))
     marks = stored(base.select(F.col("source"), F.col("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), tokens_of(text).alias("n_tokens"), draw.alias("draw"),
@@ -107,11 +114,20 @@ def mix(docs: DataFrame, targets: dict = TARGETS, budget: float = BUDGET, seed:
     for d in MARGINS:
         same = same & F.col(d).eqNullSafe(F.col(f"k_{d}"))
     out = marks.join(small_side(factor, CELLS_AT_ONCE), same)
+    # a weight above 1 goes with a probability of 1, so the draw is still free to decide on the fraction
+    copies = F.floor("sample_weight") + (F.col("draw") < F.col("sample_weight") - F.floor("sample_weight")).cast("long")
+    sampled = F.col("draw") < F.col("probability")
     return out.select(*[F.col("c_text" if x == text_col else f"c_{k}").alias(x) for k, x in enumerate(base.columns)], "topic", "n_tokens", "probability", "sample_weight",
-                      (F.col("draw") < F.col("probability")).alias("sampled"))
+                      sampled.alias("sampled"), F.when(sampled, copies).otherwise(0).alias("copies"))
+
+
+def sample(docs: DataFrame, **how) -> DataFrame:
+    """The rows that ``mix`` draws, each as often as its ``copies``, with the columns of ``docs``: their token shares meet the targets without weights."""
+    drawn = mix(docs, **how).filter("sampled").withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
+    return drawn.select(docs.columns)
 
 
 @register("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sample_weight", "sampled")
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sample_weight", "sampled", "copies")
