@@ -7,7 +7,8 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-_MODULES = ("url_filter", "near_dup", "decontaminate", "license_scan", "warc", "toxicity", "token_count", "sharding", "mixing", "quality_rules")
+_MODULES = ("url_filter", "near_dup", "decontaminate", "license_scan", "warc", "toxicity", "token_count", "sharding", "mixing", "quality_rules",
+            "merkle")
 
 
 def register(name: str, sql: str | None = None):
