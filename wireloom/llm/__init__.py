@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 _MODULES = ("url_filter", "near_dup", "decontaminate", "license_scan", "warc", "toxicity", "token_count", "sharding", "mixing", "quality_rules",
-            "merkle")
+            "merkle", "simhash", "alignment")
 
 
 def register(name: str, sql: str | None = None):
