@@ -109,7 +109,8 @@ def test_shuffled_counts_and_small_parts(spark, monkeypatch):
 
 @pytest.mark.parametrize("part", [1, 7, 50])
 def test_cuts_do_not_change_tokens(part, monkeypatch):
-    monkeypatch.setattr(alignment, "PART", part)
+    monkeypatch.setattr(alignment, "KEPT", part)
+    monkeypatch.setattr(alignment, "CACHE", 20 * part)
     known = alignment.Encoders(*alignment._paths())
     rnd = random.Random(part)
     words = [t for t in TEXTS if t] + ["Abc", "it's", "  ", " ", "\n", "-", "ß", "'s", "9"]

@@ -5,17 +5,21 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import register
-from .store import small_side, stored
+from .store import stored
 
-PART = 1 << 16          # characters from which a text is cut, at a place where neither tokenizer joins across
+CACHE = 300_000         # words whose tokens a task keeps
+KEPT = 64               # characters up to which a word is kept
 BATCH = 1 << 20         # characters encoded at a time
 PAIRS_AT_ONCE = 2_000_000  # id pairs up to which their counts are broadcast whole
+PROBE = 4               # tokens of the first block that is compared along a diagonal
 HOT_PAIRS = 100_000     # beyond: pairs with at least this part of all links are broadcast, so there are at most so many
 
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
@@ -46,29 +50,42 @@ class Encoders:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)  # no piece of B joins a character and the space after it
-        self.len_a, self.len_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.known: dict[str, tuple[list[int], list[int]] | None] = {}
+        self.len_a, self.len_b = ([len(t) for t in x] for x in (self.bytes_a, self.bytes_b))
         self.name_a, self.name_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
-
-    def parts(self, text: str) -> list[str]:
-        """The text cut at single spaces between words, each of which is the space that both tokenizers put before a text."""
-        out, at = [], 0
-        while self.cuts and len(text) - at > PART and (m := _CUT.search(text, at + PART)):
-            out.append(text[at:m.start()])
-            at = m.end()
-        return [*out, text[at:]]
+        self.left_a = [f"{n}|" for n in self.name_a]
+
+    def words(self, text: str) -> list[str]:
+        """The text cut at single spaces between visible characters: neither tokenizer joins across, and each puts that space before a word itself."""
+        return _CUT.split(text) if self.cuts else [text]
+
+    def learn(self, words: list[str]) -> dict[str, tuple[list[int], list[int]] | None]:
+        """Ids of A and of B for every word, None if the tokens of either do not spell it. Short words are kept for later texts."""
+        ids_a = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+        ids_b = self.b.encode(words, num_threads=1) if words else []
+        found = {}
+        for word, e, b in zip(words, ids_a, ids_b):
+            a, whole = e.ids, (" " + word).encode()
+            found[word] = (a, b) if whole == b"".join(map(self.bytes_a.__getitem__, a)) == b"".join(map(self.bytes_b.__getitem__, b)) else None
+        self.known.update((w, x) for w, x in found.items() if len(w) <= KEPT)
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and of B for every text; none if the tokens do not spell the text."""
-        cut = [self.parts(t) if t else [] for t in texts]
-        flat = [p for parts in cut for p in parts]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-        ids_b = self.b.encode(flat, num_threads=1) if flat else []
-        at = 0
-        for text, parts in zip(texts, cut):
-            a, b = ([i for x in ids[at:at + len(parts)] for i in x] if len(parts) != 1 else ids[at] for ids in (ids_a, ids_b))
-            at += len(parts)
-            whole = (" " + text).encode() if text else b""
-            yield (a, b) if whole == b"".join(map(self.bytes_a.__getitem__, a)) == b"".join(map(self.bytes_b.__getitem__, b)) else ([], [])
+        if len(self.known) > CACHE:
+            self.known.clear()
+        cut = [self.words(t) if t else [] for t in texts]
+        new = self.learn(list({w for words in cut for w in words if w not in self.known}))
+        for words in cut:
+            a, b, known = [], [], self.known
+            for w in words:
+                x = known[w] if w in known else new[w]
+                if x is None:
+                    a, b = [], []
+                    break
+                a += x[0]
+                b += x[1]
+            yield a, b
 
 
 def diagonal_runs(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int, int, int]], list[int], list[int]]:
@@ -77,20 +94,22 @@ def diagonal_runs(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int,
     From token i of A and j of B on, n tokens are one to one; tokens i + n to i2 of A and j + n to j2 of B are then one irregular group
     (none at the end of the text). Both lists increase and end with the same number.
 
-    While the shift j - i holds, blocks of doubling length are compared and jumped; at a difference the block is halved down to the
-    first pair that differs. There the shorter side takes tokens until both end together, which gives the new shift.
+    While the shift j - i holds, blocks of doubling length are compared and jumped; a block with a difference is halved, and what is
+    left of it is read up to the first pair that differs. There the shorter side takes tokens until both end together, which gives the new shift.
     """
     out, left, right = [], [], []
     i, j, n = 0, 0, len(ends_a)
     while i < n:
-        i0, j0, step = i, j, 1
+        i0, j0, step = i, j, PROBE
         while i < n and ends_a[i:i + step] == ends_b[j:j + step]:
             i, j, step = i + step, j + step, 2 * step
         if i < n:
-            while step > 1:
+            while step > PROBE:
                 step >>= 1
                 if ends_a[i:i + step] == ends_b[j:j + step]:
                     i, j = i + step, j + step
+            while ends_a[i] == ends_b[j]:
+                i, j = i + 1, j + 1
         i, j = min(i, n), min(j, len(ends_b))
         run = i - i0
         if i < n:
@@ -113,15 +132,15 @@ def _aligned(known: Encoders, a: list[int], b: list[int]) -> tuple[int, str, np.
     """Groups, their text, and the distinct linked id pairs (A's id in the upper half) with their numbers of links."""
     if not a:
         return 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    runs, left, right = diagonal_runs(np.cumsum(known.len_a[a]).tolist(), np.cumsum(known.len_b[b]).tolist())
-    one, two, names_a, names_b = [a[k] for k in left], [b[k] for k in right], known.name_a, known.name_b
+    runs, left, right = diagonal_runs(*(list(accumulate(map(size.__getitem__, ids))) for size, ids in ((known.len_a, a), (known.len_b, b))))
+    one, two, names_a, names_b, lefts = [a[k] for k in left], [b[k] for k in right], known.name_a, known.name_b, known.left_a
     groups = []
     for i, j, n, i2, j2 in runs:
         if n:
             x, y = a[i:i + n], b[j:j + n]
             one += x
             two += y
-            groups += [f"{p}|{q}" for p, q in zip(x, y)]
+            groups += map(add, map(lefts.__getitem__, x), map(names_b.__getitem__, y))
         if i + n < i2:
             groups.append(",".join([names_a[k] for k in a[i + n:i2]]) + "|" + ",".join([names_b[k] for k in b[j + n:j2]]))
     pairs, n = np.unique(np.array(one, np.int64) << 32 | np.array(two, np.int64), return_counts=True)
@@ -141,8 +160,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     without special tokens. Byte offsets where tokens of both end cut the tokens into groups, written ``a1,a2|b1;a3|b2,b3``; tokens
     are linked where their bytes overlap. With ``detail`` the ids come too, as ``a_ids`` and ``b_ids``.
 
-    Null and empty texts, and texts that either tokenizer does not spell byte by byte, have no tokens. Very long texts are encoded
-    in parts, cut only where no token can span, and aligned whole. Null and repeated ids stay as they are; other columns are not
+    Null and empty texts, and texts that either tokenizer does not spell byte by byte, have no tokens. Texts are encoded word by word, cut
+    only where no token can span, and aligned whole, however long. Null and repeated ids stay as they are; other columns are not
     read. An empty table gives an empty result. Both files must exist on every executor.
     """
     paths = (path_a or _paths()[0], path_b or _paths()[1])
