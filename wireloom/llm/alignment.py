@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import json
 import re
 from collections.abc import Iterator
 from itertools import accumulate
@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import register
 from .store import stored
 
-CACHE = 300_000         # words whose tokens a task keeps
-KEPT = 64               # characters up to which a word is kept
+PART = 1 << 16          # characters from which a text is cut, at a place where neither tokenizer joins across
 BATCH = 1 << 20         # characters encoded at a time
 PAIRS_AT_ONCE = 2_000_000  # id pairs up to which their counts are broadcast whole
 PROBE = 4               # tokens of the first block that is compared along a diagonal
 HOT_PAIRS = 100_000     # beyond: pairs with at least this part of all links are broadcast, so there are at most so many
 
+# fixed value: how byte-level BPE files of this kind cut a text before merging
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 _LOADED: dict = {}
 
@@ -33,59 +35,63 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def byte_level(path: str):
+    """Encoder of a byte-level BPE file and the bytes of every token.
+
+    Merges are applied by rank: in these files a merged token's id grows with its merge, which is checked, so ids are ranks and the
+    faster engine gives the ids of the file's own library (as the tests hold it to). Special strings are ordinary text.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocabulary, cut, byte = spec["model"]["vocab"], spec["pre_tokenizer"], byte_of_char()
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    if spec["normalizer"] or cut["type"] != "ByteLevel" or not cut["use_regex"] or cut["add_prefix_space"] or merged != sorted(merged):
+        raise ValueError(f"{path} is no plain byte-level BPE")
+    special = {t["id"] for t in spec["added_tokens"]}
+    spelled = {i: bytes(byte[c] for c in t) for t, i in vocabulary.items() if i not in special}
+    table = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks={t: i for i, t in spelled.items()}, special_tokens={}), table
+
+
 class Encoders:
     """Both tokenizers, and the bytes of every token of each."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
-        byte, vocabulary = byte_of_char(), self.a.get_vocab()
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+
+        self.a, self.bytes_a = byte_level(path_a)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)  # no piece of B joins a character and the space after it
-        self.known: dict[str, tuple[list[int], list[int]] | None] = {}
         self.len_a, self.len_b = ([len(t) for t in x] for x in (self.bytes_a, self.bytes_b))
         self.name_a, self.name_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
         self.left_a = [f"{n}|" for n in self.name_a]
 
-    def words(self, text: str) -> list[str]:
-        """The text cut at single spaces between visible characters: neither tokenizer joins across, and each puts that space before a word itself."""
-        return _CUT.split(text) if self.cuts else [text]
-
-    def learn(self, words: list[str]) -> dict[str, tuple[list[int], list[int]] | None]:
-        """Ids of A and of B for every word, None if the tokens of either do not spell it. Short words are kept for later texts."""
-        ids_a = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        ids_b = self.b.encode(words, num_threads=1) if words else []
-        found = {}
-        for word, e, b in zip(words, ids_a, ids_b):
-            a, whole = e.ids, (" " + word).encode()
-            found[word] = (a, b) if whole == b"".join(map(self.bytes_a.__getitem__, a)) == b"".join(map(self.bytes_b.__getitem__, b)) else None
-        self.known.update((w, x) for w, x in found.items() if len(w) <= KEPT)
-        return found
+    def parts(self, text: str) -> list[str]:
+        """The text, if long cut at single spaces between visible characters: neither tokenizer joins across, and each puts that space before a part itself."""
+        out, at = [], 0
+        while self.cuts and len(text) - at > PART and (m := _CUT.search(text, at + PART)):
+            out.append(text[at:m.start()])
+            at = m.end()
+        return [*out, text[at:]]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and of B for every text; none if the tokens do not spell the text."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        cut = [self.words(t) if t else [] for t in texts]
-        new = self.learn(list({w for words in cut for w in words if w not in self.known}))
-        for words in cut:
-            a, b, known = [], [], self.known
-            for w in words:
-                x = known[w] if w in known else new[w]
-                if x is None:
-                    a, b = [], []
-                    break
-                a += x[0]
-                b += x[1]
-            yield a, b
+        """Ids of A and of B for every text; none if the tokens do not spell the text (those of A, which has all bytes, always do)."""
+        cut = [self.parts(t) if t else [] for t in texts]
+        ids_b, at = self.b.encode([p for parts in cut for p in parts], num_threads=1) if any(cut) else [], 0
+        for text, parts in zip(texts, cut):
+            own, at = ids_b[at:at + len(parts)], at + len(parts)
+            b = own[0] if len(own) == 1 else [i for x in own for i in x]
+            if text and b"".join(map(self.bytes_b.__getitem__, b)) == (" " + text).encode():
+                a = self.a.encode_ordinary(" " + parts[0])
+                for p in parts[1:]:
+                    a += self.a.encode_ordinary(" " + p)
+                yield a, b
+            else:
+                yield [], []
 
 
 def diagonal_runs(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int, int, int]], list[int], list[int]]:
@@ -128,13 +134,11 @@ def diagonal_runs(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int,
     return out, left, right
 
 
-def _aligned(known: Encoders, a: list[int], b: list[int]) -> tuple[int, str, np.ndarray, np.ndarray]:
-    """Groups, their text, and the distinct linked id pairs (A's id in the upper half) with their numbers of links."""
-    if not a:
-        return 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _aligned(known: Encoders, a: list[int], b: list[int]) -> tuple[list[str], list[int], list[int]]:
+    """Written groups, and A's and B's ids of every link."""
     runs, left, right = diagonal_runs(*(list(accumulate(map(size.__getitem__, ids))) for size, ids in ((known.len_a, a), (known.len_b, b))))
     one, two, names_a, names_b, lefts = [a[k] for k in left], [b[k] for k in right], known.name_a, known.name_b, known.left_a
-    groups = []
+    groups: list[str] = []
     for i, j, n, i2, j2 in runs:
         if n:
             x, y = a[i:i + n], b[j:j + n]
@@ -143,8 +147,7 @@ def _aligned(known: Encoders, a: list[int], b: list[int]) -> tuple[int, str, np.
             groups += map(add, map(lefts.__getitem__, x), map(names_b.__getitem__, y))
         if i + n < i2:
             groups.append(",".join([names_a[k] for k in a[i + n:i2]]) + "|" + ",".join([names_b[k] for k in b[j + n:j2]]))
-    pairs, n = np.unique(np.array(one, np.int64) << 32 | np.array(two, np.int64), return_counts=True)
-    return len(groups), ";".join(groups), pairs, n
+    return groups, one, two
 
 
 def _paths() -> tuple[str, str]:
@@ -160,8 +163,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     without special tokens. Byte offsets where tokens of both end cut the tokens into groups, written ``a1,a2|b1;a3|b2,b3``; tokens
     are linked where their bytes overlap. With ``detail`` the ids come too, as ``a_ids`` and ``b_ids``.
 
-    Null and empty texts, and texts that either tokenizer does not spell byte by byte, have no tokens. Texts are encoded word by word, cut
-    only where no token can span, and aligned whole, however long. Null and repeated ids stay as they are; other columns are not
+    Null and empty texts, and texts that either tokenizer does not spell byte by byte, have no tokens. Very long texts are encoded
+    in parts, cut only where no token can span, and aligned whole. Null and repeated ids stay as they are; other columns are not
     read. An empty table gives an empty result. Both files must exist on every executor.
     """
     paths = (path_a or _paths()[0], path_b or _paths()[1])
@@ -172,17 +175,27 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
         known = _LOADED[paths]
 
         def rows(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-            kept_a, kept_b, counts, groups, pairs, links = [], [], [], [], [], []
+            kept_a, kept_b, counts, written, one, two, size = [], [], [], [], [], [], []
             for a, b in known.encode(texts):
-                n, written, p, m = _aligned(known, a, b)
-                counts.append((len(a), len(b), n, len(a) + len(b) - n))
-                groups.append(written), pairs.append(p), links.append(m)
+                groups, x, y = _aligned(known, a, b) if a else ([], [], [])
+                counts.append((len(a), len(b), len(groups), len(x)))
+                written.append(";".join(groups))
+                one += x
+                two += y
                 if detail:
                     kept_a.append(a), kept_b.append(b)
-            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(v) for v in x]), pa.int32()), pa.array(np.concatenate(x).astype(kind)))
-            arrays = [ids, *(pa.array(c, pa.int64()) for c in zip(*counts)), pa.array(groups, pa.string()), lists(pairs, np.int64), lists(links, np.int32)]
+            # distinct pairs of every text: one sort of (text, id of A, id of B) over the whole batch
+            size = np.array([c[3] for c in counts], np.int64)
+            wide = (len(known.bytes_a) - 1).bit_length(), (len(known.bytes_b) - 1).bit_length()
+            code = (np.repeat(np.arange(len(texts)), size) << wide[0] | np.array(one, np.int64)) << wide[1] | np.array(two, np.int64)
+            code, links = np.unique(code, return_counts=True)
+            pairs = (code >> wide[1] & (1 << wide[0]) - 1) << 32 | code & (1 << wide[1]) - 1
+            offsets = pa.array(np.searchsorted(code >> sum(wide), np.arange(len(texts) + 1)), pa.int32())
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(v) for v in x]), pa.int32()), pa.array([i for v in x for i in v], pa.int32()))
+            arrays = [ids, *(pa.array(c, pa.int64()) for c in zip(*counts)), pa.array(written, pa.string()),
+                      pa.ListArray.from_arrays(offsets, pa.array(pairs, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(links.astype(np.int32)))]
             if detail:
-                arrays += [lists(kept_a, np.int32), lists(kept_b, np.int32)]
+                arrays += [lists(kept_a), lists(kept_b)]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
