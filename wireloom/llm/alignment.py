@@ -18,7 +18,7 @@ from .store import stored
 PART = 1 << 16          # characters from which a text is cut, at a place where neither tokenizer joins across
 BATCH = 1 << 20         # characters encoded at a time
 PAIRS_AT_ONCE = 2_000_000  # id pairs up to which their counts are broadcast whole
-PROBE = 4               # tokens of the first block that is compared along a diagonal
+PROBE = 16              # tokens of the first block that is compared along a diagonal
 HOT_PAIRS = 100_000     # beyond: pairs with at least this part of all links are broadcast, so there are at most so many
 
 # fixed value: how byte-level BPE files of this kind cut a text before merging
