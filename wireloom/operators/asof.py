@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
 PARTS = 16  # slices of a look-back horizon
@@ -50,6 +52,49 @@ def previous_within(df: DataFrame, keys: Sequence[str], us: str, tie: str, horiz
     )
 
 
+def next_from(probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, us: str, tie: str, length: int, out: str = "next") -> DataFrame:
+    """``probes`` with the first fact (struct ``us``, ``tie``) of an equal key whose ``us`` is at least the probe's ``at``, or null.
+
+    The mirror of :func:`previous_within` without a horizon: facts and probes meet in slices of ``length`` microseconds, and where a
+    slice has nothing left, the head of the next slice that has facts answers, which is one row per key and slice.
+    """
+    fact = F.struct(F.col(us).cast("long").alias("us"), F.col(tie).cast("long").alias("tie"))
+    f = facts.select(*keys, slice_of(F.col(us), length).alias("_slice"), F.col(us).cast("long").alias("_t"), F.lit(1).alias("_is"), fact.alias("_fact"))
+    id_cols = [c for c in probes.columns if c not in keys]
+    row = F.struct(*id_cols)
+    p = probes.select(*keys, slice_of(F.col(at), length).alias("_slice"), F.col(at).cast("long").alias("_t"), F.lit(0).alias("_is"), row.alias("_row"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = f.select("*", none(p, "_row")).unionByName(p.select("*", none(f, "_fact")))
+    # a fact at the very time of a probe counts, so facts stand first when the slice is read backwards
+    back = W.partitionBy(*keys, "_slice").orderBy(F.desc("_t"), F.desc("_is")).rowsBetween(W.unboundedPreceding, 0)
+    seen = both.withColumn("_in", F.min("_fact").over(back)).filter("_is = 0")
+    heads = both.groupBy(*keys, "_slice").agg(F.min("_fact").alias("_head"))
+    later = W.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    heads = heads.withColumn("_later", F.last("_head", ignorenulls=True).over(later)).drop("_head")
+    found = seen.join(heads, [*keys, "_slice"])
+    return found.select(*keys, "_row.*", F.coalesce("_in", "_later").alias(out))
+
+
+def spaced(rows: DataFrame, keys: Sequence[str], us: str, tie: str, gap: int) -> DataFrame:
+    """The ``tie`` ids that a greedy reading in (us, tie) order keeps: the first row of a key, then always the first more than ``gap`` after the last kept.
+
+    Which row is kept next depends on the row kept, not on what came before it: every row points to its successor, and the kept rows
+    are the path from the first. Paths are marked by pointer doubling, so a key with n kept rows takes log2(n) rounds, in each of
+    which every row is a key of its own: a hot key spreads over all tasks. Ids must tell rows apart.
+    """
+    r = cut_lineage(rows.select(*keys, F.col(us).cast("long").alias("_us"), F.col(tie).cast("long").alias("_id")))
+    probes = r.select(*keys, F.col("_id").alias("node"), (F.col("_us") + gap + 1).alias("_from"))
+    ahead = next_from(probes, r, keys, "_from", "_us", "_id", max(gap // PARTS, 1)).filter("next IS NOT NULL")
+    ahead = cut_lineage(ahead.select("node", F.col("next.tie").alias("to")))
+    kept = cut_lineage(r.groupBy(*keys).agg(F.min(F.struct("_us", "_id")).alias("f")).select(F.col("f._id").alias("node")))
+    while True:
+        more = cut_lineage(kept.join(ahead, "node").select(F.col("to").alias("node")))
+        if more.isEmpty():
+            return kept.withColumnRenamed("node", tie)
+        kept = kept.unionByName(more)
+        ahead = cut_lineage(ahead.join(ahead.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")))
+
+
 def range_best(probes: DataFrame, facts: DataFrame, key: str, probe_id: Sequence[str], best: str, block: int) -> DataFrame:
     """For each probe: the greatest ``best`` struct among facts of an equal key with ``lo <= t <= hi``.
 
@@ -85,19 +130,24 @@ def range_best(probes: DataFrame, facts: DataFrame, key: str, probe_id: Sequence
     )
 
 
-def sliced_position(df: DataFrame, keys: Sequence[str], slice_col: Column, order: Sequence, out: str) -> DataFrame:
-    """Exact 1-based position inside ``keys`` without sorting a whole key in one task.
+def position_in(df: DataFrame, keys: Sequence[str], order: Sequence, out: str) -> DataFrame:
+    """Exact 1-based position inside ``keys`` by ``order``, whatever share of the rows one key, hour or score has.
 
-    ``slice_col`` must grow with the order. Rows are numbered inside a slice; the slice offsets come from a running
-    sum over the per-slice counts.
+    Rows are dealt by ranges of (keys, order) between sampled splitters, so every task sorts about as many rows; a row's
+    position is its place in its partition plus what the partitions before hold of its key. Rows that tie in ``order`` stay
+    together, so give an order that tells rows apart.
     """
-    cut = df.withColumn("_s", slice_col)
-    counts = cut.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(w.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = cut.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_s").orderBy(*order)))
-    return local.join(offsets, [*keys, "_s"]).withColumn(out, (F.col("_r") + F.col("_off")).cast("long")).drop("_s", "_r", "_off")
+    by = [*keys, *order]
+    dealt = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33))
+    heads = dealt.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_of")).agg(F.min("_at").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    key = [f"_k{i}" for i in range(len(keys))]
+    before = (W.partitionBy(*key) if keys else W.partitionBy(F.lit(0))).orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
+    starts = heads.select(*key, "_of", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo") + 1).alias("_shift"))
+    same = F.col("_of") == F.col("_part")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"_k{i}").eqNullSafe(dealt[k])
+    return dealt.join(starts, same).withColumn(out, (F.col("_at") + F.col("_shift")).cast("long")).drop("_at", "_part", "_of", "_shift", *key)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

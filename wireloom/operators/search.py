@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as T, vocab as V
-from .asof import HOUR, latest_per_key, micros, sliced_position, top_per_key
+from .asof import HOUR, latest_per_key, micros, position_in, top_per_key
 from .filters import after, event_base, feed_rows
 
 RANKING = (F.desc_nulls_last, "impact_score"), (F.desc_nulls_last, "event_time"), (F.desc, "event_id")
@@ -78,7 +78,7 @@ def event_detail(events: DataFrame, claims: DataFrame, links: DataFrame) -> tupl
     n = links.groupBy("event_id").agg(F.count(F.lit(1)).alias("message_count"))
     head = events.join(latest, "latest_claim_id", "left").join(n, "event_id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0)))
     ordered = links.withColumn("_us", micros("linked_at"))
-    rows = sliced_position(ordered, ["event_id"], F.floor(F.col("_us") / (6 * HOUR)), ["_us", "raw_message_id"], "position")
+    rows = position_in(ordered, ["event_id"], ["_us", "raw_message_id"], "position")
     return head, rows.select("event_id", "raw_message_id", "position")
 
 
@@ -149,7 +149,7 @@ def feed_page(events: DataFrame, n: int, after_key: tuple | None = None, topic:
 def feed_pages(events: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(items with page and position, one row per page with its size, next key and has_more) for the whole feed."""
     rows = feed_rows(events).withColumn("_us", micros("event_time"))
-    pos = sliced_position(rows, [], -F.floor(F.col("_us") / (6 * HOUR)), [F.desc("_us"), F.desc("event_id")], "position")
+    pos = position_in(rows, [], [F.desc("_us"), F.desc("event_id")], "position")
     items = pos.withColumn("page", F.floor((F.col("position") - 1) / n).cast("long")).drop("_us")
     key = F.struct("event_time", "event_id")
     peek = items.filter((F.col("position") % n == 1) & (F.col("page") > 0)).select((F.col("page") - 1).alias("page"), F.lit(True).alias("has_more"))

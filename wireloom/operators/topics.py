@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T, vocab as V
 from ..session import cut_lineage
-from .asof import HOUR, micros, sliced_position, top_per_key
+from .asof import HOUR, micros, position_in, top_per_key
 from .filters import assign_windows
 
 WINDOW = ["window_start", "window_end"]
@@ -256,7 +256,7 @@ def topic_timeline(w: DataFrame, n: int = 50) -> DataFrame:
 def memo_input_events(w: DataFrame, drivers: DataFrame) -> DataFrame:
     """Selected events with a zero-based position and whether they support the primary driver."""
     slim = w.select(*KEYS, "event_id", "impact_score", "ts", "drivers")
-    pos = sliced_position(slim, KEYS, -F.floor("impact_score"), [F.desc("impact_score"), "ts", "event_id"], "p")
+    pos = position_in(slim, KEYS, [F.desc("impact_score"), "ts", "event_id"], "p")
     return pos.join(drivers.select(*KEYS, "driver"), KEYS, "left").select(
         *KEYS, "event_id", (F.col("p") - 1).alias("position_index"), F.coalesce(F.array_contains("drivers", F.col("driver")), F.lit(False)).alias("driver_supporting"))
 

@@ -48,7 +48,7 @@ def scored_claims(raw: DataFrame) -> DataFrame:
     return c.withColumn("payload_hash", F.sha2(F.to_json(payload, {"ignoreNullFields": "false"}), 256))
 
 
-def claim_batch(raw: DataFrame, stored: DataFrame | None = None, state: DataFrame | None = None, slice_hours: int | None = None,
+def claim_batch(raw: DataFrame, stored: DataFrame | None = None, state: DataFrame | None = None, slice_rows: int | None = None,
                 stored_tags: DataFrame | None = None, stored_relations: DataFrame | None = None) -> dict[str, DataFrame]:
     """One batch. ``stored``: events with event_id, identity, topic, event_time, last_updated_at, ents, words, src and the
     ``cand_`` columns of their latest claim; ``state``: the fold state of the same events. ``stored_tags`` and
@@ -68,7 +68,7 @@ def claim_batch(raw: DataFrame, stored: DataFrame | None = None, state: DataFram
     routed = triage.route(triage.triage(triage.materially_new(seen).join(triage.burst_counts(c), "claim_id")))
     routed = cut_lineage(routed)
     folded = events.claim_signature(routed.filter("event_action <> 'ignore'")).withColumn("identity", F.col("fingerprint"))
-    new_state, actions = events.fold_events(folded, state, slice_hours)
+    new_state, actions = events.fold_events(folded, state, slice_rows)
     conflicts = actions.filter("action = 'update_conflict'").select("claim_id", F.col("action_reason").alias("review_reason"))
     final = triage.apply_conflicts(routed, conflicts)
     links = actions.join(c.select("claim_id", "created_at"), "claim_id").select("event_id", F.col("claim_id").alias("raw_message_id"), F.col("created_at").alias("linked_at")).dropDuplicates(["event_id", "raw_message_id"])
@@ -89,9 +89,9 @@ def extraction_run_metrics(outcomes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("selected"), n("completed", "failed").alias("processed"), n("completed").alias("completed"), n("failed").alias("failed"), n("skipped").alias("skipped"))
 
 
-def rebuild(messages: DataFrame, out_dir: str, slice_hours: int | None = None) -> dict[str, int]:
+def rebuild(messages: DataFrame, out_dir: str, slice_rows: int | None = None) -> dict[str, int]:
     """Recompute every derived table from the immutable messages and replace it; the messages stay as they are."""
-    tables = claim_batch(claims_from_messages(messages), slice_hours=slice_hours)
+    tables = claim_batch(claims_from_messages(messages), slice_rows=slice_rows)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
     return {name: messages.sparkSession.read.parquet(f"{out_dir}/{name}").count() for name in tables}
