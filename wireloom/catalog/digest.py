@@ -6,6 +6,7 @@ from . import register
 from .base_sql import CLAIMS, case_map, with_
 from ..functions import vocab as V
 from ..operators import digest as D
+from ..session import cut_lineage
 from ..sources import fixture as X
 
 SOURCE = f"""src AS (SELECT claim_id AS event_id, topic, {case_map('topic', V.TOPIC_LABELS, 'topic')} AS topic_label, summary, impact_score, last_updated_at, fingerprint, claim_hash,
@@ -79,3 +80,24 @@ FROM (SELECT window_start, window_end, count(*) AS n, {', '.join(f'sum({_WORD(k)
   FROM (SELECT *, sha256(concat_ws('|', event_id, topic_label, summary, coalesce(fingerprint, '~'), coalesce(claim_hash, '~'), epoch_us(last_updated_at), coalesce(topic, '~'), coalesce(round(impact_score * 1000000)::BIGINT::VARCHAR, '~'))) AS h FROM src) a GROUP BY window_start, window_end) b""")
 def digest_input_hash(spark, sf):
     return D.input_hash(source(spark, sf), "3/6")
+
+
+COVERED = """, told AS (SELECT y.window_start, y.window_end, y.section, y.position, y.representative_id, m.event_id FROM layout y JOIN clus r ON r.event_id = y.representative_id JOIN clus m ON m.cluster_id = r.cluster_id AND m.window_start = r.window_start)
+"""
+
+
+def clusters_and_layout(spark, sf):
+    clusters = cut_lineage(D.digest_clusters(source(spark, sf)))
+    return clusters, D.digest_layout(D.merge_clusters(clusters))
+
+
+@register("digest_covered_events", with_(*CTES).rstrip("\n") + COVERED + "SELECT * FROM told")
+def digest_covered_events(spark, sf):
+    return D.covered_events(*clusters_and_layout(spark, sf))
+
+
+@register("digest_marked_events", with_(*CTES).rstrip("\n") + COVERED + """SELECT claim_id AS event_id, coalesce(is_published, false) OR claim_id IN (SELECT event_id FROM told) AS is_published FROM claims""")
+def digest_marked_events(spark, sf):
+    """Publication flags after every window's digest has been published."""
+    events = X.claims(spark, sf).withColumnRenamed("claim_id", "event_id")
+    return D.mark_published(events, D.covered_events(*clusters_and_layout(spark, sf)), "vip_telegram").select("event_id", "is_published")

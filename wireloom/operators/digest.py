@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T, vocab as V
 from .asof import micros, top_per_key
-from .filters import assign_windows, min_impact_exclusive, unpublished
+from .filters import PUBLISH_FLAGS, assign_windows, min_impact_exclusive, unpublished
 from .graph import components
 
 WINDOW = ["window_start", "window_end"]
@@ -92,6 +92,23 @@ def digest_coverage(layout: DataFrame, by: list[str] = WINDOW) -> DataFrame:
     return both.groupBy(*by, "section").agg(F.sum("n_events").alias("covered_events"), F.count(F.lit(1)).alias("n_bullets"))
 
 
+def covered_events(clustered: DataFrame, layout: DataFrame, by: list[str] = WINDOW) -> DataFrame:
+    """The events that a digest covers: one row per event of each bullet, with the bullet's section, position and representative."""
+    members = clustered.select(*by, "topic_label", "cluster_id", "event_id")
+    heads = members.select(*by, F.col("event_id").alias("representative_id"), "cluster_id")
+    told = layout.select(*by, "section", "position", "representative_id").join(heads, [*by, "representative_id"])
+    return told.join(members.drop("topic_label"), [*by, "cluster_id"]).select(*by, "section", "position", "representative_id", "event_id")
+
+
+def mark_published(events: DataFrame, covered: DataFrame, destination: str) -> DataFrame:
+    """Events after a destination has taken a digest: those it covers carry the destination's flag, so the next digest leaves them out."""
+    flag = PUBLISH_FLAGS.get(destination)
+    if flag is None:
+        return events
+    hit = covered.select("event_id").distinct().withColumn("_covered", F.lit(True))
+    return events.join(hit, "event_id", "left").withColumn(flag, F.coalesce("_covered", flag, F.lit(False))).drop("_covered")
+
+
 def digest_text(layout: DataFrame, source: DataFrame, by: list[str] = WINDOW) -> DataFrame:
     """Text and hash of each window. A window's text holds a bounded number of bullets, never its source rows."""
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss 'UTC'")
