@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from . import register
 from .base_sql import CLAIMS, with_
-from .digest import CTES as DIGEST_CTES
+from .digest import COVERED, CTES as DIGEST_CTES
 from .ingest import ENVELOPES, MESSAGES, _KIND
 from .scoring import BURST, FEATURE_CTES
 from ..functions import text as T
@@ -14,9 +14,10 @@ from ..streaming import digest as SD, ingest as SI, state as SS
 
 
 class _AsStream:
-    """Session stand-in: ``read.parquet(path)`` opens the table as a stream of several files, one per batch.
+    """Session stand-in: ``read.parquet(path)`` opens the table as a stream of four parts, cut by ``order``, in the sequence ``parts``.
 
-    The rows are cut into four parts by ``order`` and written in the sequence ``parts``: a part may come late or twice.
+    A part may come late or twice; rows without an order belong to the last part. Every part is written by as many tasks as the table
+    has partitions (two at least), one file each, and a batch takes that many files.
     """
 
     def __init__(self, spark, parts=(0, 2, 1, 3, 0), order="ts"):
@@ -28,13 +29,16 @@ class _AsStream:
 
     def parquet(self, path):
         df = self._spark.read.parquet(path)
-        folder = scratch_path(self._spark, "parts")
-        lo, hi = df.agg(F.min(self._order), F.max(self._order)).first()
-        step = (hi - lo) / 4
+        folder, order = scratch_path(self._spark, "parts"), F.col(self._order)
+        lo, hi = df.agg(F.min(order), F.max(order)).first()
+        files = max(2, df.rdd.getNumPartitions())
+        cuts = [] if lo is None else [lo + (hi - lo) / 4 * k for k in (1, 2, 3)]
+        part_of = F.lit(3)
+        for k, cut in reversed(list(enumerate(cuts))):
+            part_of = F.when(order < F.lit(cut), k).otherwise(part_of)
         for k in self._parts:
-            part = df.filter((F.col(self._order) >= F.lit(lo + step * k)) & ((F.col(self._order) < F.lit(lo + step * (k + 1))) if k < 3 else F.lit(True)))
-            part.coalesce(1).write.mode("append").parquet(folder)
-        return self._spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            df.filter(part_of == k).repartition(files).write.mode("append").parquet(folder)
+        return self._spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _finish(query):
@@ -75,11 +79,21 @@ def stream_novelty(spark, sf):
     return spark.read.parquet(out)
 
 
-@register("stream_digest", with_(*DIGEST_CTES) + "SELECT * FROM layout")
-def stream_digest(spark, sf):
+def _digest_view(spark, sf, kind):
     out = scratch_path(spark, "digest")
     _finish(SD.stream_digest(X.claims(_AsStream(spark), sf).withColumnRenamed("claim_id", "event_id"), scratch_path(spark, "events"), out, scratch_path(spark, "ck")))
-    return SD.current_digest(spark.read.parquet(out))
+    return SD.current(spark, out, kind)
+
+
+@register("stream_digest", with_(*DIGEST_CTES) + "SELECT * FROM layout")
+def stream_digest(spark, sf):
+    return _digest_view(spark, sf, "layout")
+
+
+@register("stream_digest_covered", with_(*DIGEST_CTES).rstrip("\n") + COVERED + "SELECT * FROM told")
+def stream_digest_covered(spark, sf):
+    """Covered events of every window's latest snapshot after five batches, one of them late and one repeated."""
+    return _digest_view(spark, sf, "covered")
 
 
 @register("touched_windows", with_(CLAIMS) + """SELECT DISTINCT time_bucket(INTERVAL '4' HOUR, last_updated_at) AS window_start, time_bucket(INTERVAL '4' HOUR, last_updated_at) + INTERVAL '4' HOUR AS window_end

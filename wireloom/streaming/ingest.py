@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources.messages import KEY, ingest, to_envelope
+from .batches import BatchTable, slots_of
 
+BUCKETS = 256  # of the key table; fixed for the life of a table
 
-def _stored(spark: SparkSession, table: str, schema, batch_id: int) -> DataFrame:
-    """Rows of earlier batches; a replayed batch does not see its own first try."""
-    try:
-        return spark.read.schema(schema).option("basePath", table).parquet(f"{table}/*").filter(f"batch_id < {batch_id}")
-    except Exception as exc:  # nothing has been written yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return spark.createDataFrame([], schema)
 
+def key_table(path: str) -> BatchTable:
+    """The keys stored so far, by bucket of their hash."""
+    return BatchTable(path, StructType([StructField(k, StringType()) for k in KEY]))
 
-def stream_ingest(stream: DataFrame, table: str, checkpoint: str, arrival: str = "arrival_id") -> StreamingQuery:
+
+def stream_ingest(stream: DataFrame, table: str, checkpoint: str, arrival: str = "arrival_id", buckets: int = BUCKETS) -> StreamingQuery:
     """Append unseen keys batch by batch. A batch owns the folder ``batch_id=…`` and overwrites it, so a replay after a
-    failure leaves the table as it was. Only the two key columns of the stored rows are read."""
+    failure leaves the table as it was. Known keys lie in a table of their own beside it (``<table>-keys``), of which a batch reads
+    only the buckets that its own keys fall in."""
+    known_keys = key_table(f"{table}-keys")
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        keys = "source_stream_id string, source_message_id string, batch_id long"
-        known = _stored(batch.sparkSession, table, keys, batch_id).select(*KEY)
-        fresh, _ = ingest(batch, known, arrival)
+        batch = batch.withColumn("slot", bucket)
+        known = known_keys.read(batch.sparkSession, batch_id, slots_of(batch)).select(*KEY)
+        fresh, _ = ingest(batch.drop("slot"), known, arrival)
         fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        stored = batch.sparkSession.read.schema(fresh.schema).parquet(f"{table}/batch_id={batch_id}")
+        known_keys.add(stored.select(*KEY, bucket.alias("slot")), batch_id)
 
     return to_envelope(stream).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
