@@ -172,6 +172,21 @@ def test_duplicate_search_equals_plain_scan(spark):
         assert sorted(got.get(b["event_id"], [])) == want
 
 
+def test_duplicates_of_events_without_topic(spark):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [(i, t, f"text {i}", at(i), False, f"id{i}", h, f"p{i}", ["a", "b"] if i in (1, 2, 5) else [], [], at(i)) for i, (t, h) in enumerate(
+        [("fx", "h1"), ("fx", "h1"), ("rates", "h1"), (None, "h2"), ("fx", "h2"), (None, "h1"), (" ", "h3")])]
+    ev = spark.createDataFrame(rows, "event_id long, topic string, summary string, event_time timestamp_ntz, is_breaking boolean, identity string, claim_hash string, payload_hash string, "
+                               "entities array<string>, words array<string>, last_updated_at timestamp_ntz")
+    got = {}
+    for r in Q.duplicate_candidates(ev, scan=6, with_ratio=False).collect():
+        got.setdefault(r["event_id"], []).append(r["candidate_id"])
+    # with a topic: others of the topic; without: the latest of all
+    assert got == {0: [1], 1: [0], 3: [4], 5: [2, 1, 0]}
+    few = {r["candidate_id"] for r in Q.duplicate_candidates(ev, scan=3, with_ratio=False).filter("event_id = 5").collect()}
+    assert few == set()
+
+
 def test_band_joins_have_no_nested_loops(spark):
     from wireloom import catalog
 

@@ -172,20 +172,27 @@ def _ratio():
     return ratio
 
 
+NO_TOPIC = "\u0000"  # stands for the list over all topics
+
+
 def duplicate_candidates(events: DataFrame, base: DataFrame | None = None, scan: int = 250, keep: int = 20, with_ratio: bool = True) -> DataFrame:
-    """Likely duplicates of each base event among the ``scan`` latest other events of its topic.
+    """Likely duplicates of each base event among the ``scan`` latest other events of its topic, or of all if it has no topic.
 
-    The candidate side is the top ``scan + 1`` of every topic, so it is at most 251 rows per topic whatever the table
+    The candidate side is the top ``scan + 1`` of every topic and of the whole table, so it is at most 251 rows per topic whatever the table
     size, and the work is linear in the base rows. The string ratio is computed once per distinct pair of texts, and
     only where the length bound lets it reach 0.80.
     """
     cols = ["event_id", "topic", "summary", "event_time", "is_breaking", "identity", "claim_hash", "payload_hash", "entities", "words", "last_updated_at"]
     ev = events.select(*cols).withColumn("norm", T.squeezed_lower(F.col("summary")))
-    top = top_per_key(ev, ["topic"], [F.desc("last_updated_at"), F.desc("event_id")], scan + 1, "_rank")
+    order = [F.desc("last_updated_at"), F.desc("event_id")]
+    newest = ev.orderBy(*order).limit(scan + 1).withColumn("topic", F.lit(NO_TOPIC))
+    ev = ev.withColumn("topic", F.when(F.coalesce(F.trim("topic"), F.lit("")) == "", NO_TOPIC).otherwise(F.col("topic")))
+    top = top_per_key(ev.filter(F.col("topic") != NO_TOPIC), ["topic"], order, scan + 1, "_rank")
+    top = top.unionByName(top_per_key(newest, ["topic"], order, scan + 1, "_rank"))
     c = top.select("topic", *[F.col(x).alias(f"c_{x}") for x in ("event_id", "norm", "event_time", "identity", "claim_hash", "payload_hash", "entities", "words", "_rank")])
     # a base inside the top list sees scan others; a base outside sees only the first scan
-    own = top.select("event_id", F.col("_rank").alias("_own"))
-    b = (ev if base is None else ev.join(base.select("event_id"), "event_id", "left_semi")).join(own, "event_id", "left")
+    own = top.select("topic", "event_id", F.col("_rank").alias("_own"))
+    b = (ev if base is None else ev.join(base.select("event_id"), "event_id", "left_semi")).join(own, ["topic", "event_id"], "left")
     pairs = b.join(c, "topic").filter((F.col("event_id") != F.col("c_event_id")) & ((F.col("c__rank") <= scan) | F.col("_own").isNotNull()))
     eq = lambda x: F.coalesce((F.col(x) != "") & (F.col(x) == F.col(f"c_{x}")), F.lit(False))
     hours = F.abs(micros("event_time") - micros("c_event_time")) / HOUR
