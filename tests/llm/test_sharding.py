@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from wireloom.llm import QUERIES, load
-from wireloom.llm.sharding import initial_map, load_map, rebalanced, save_map, shard_rows
+from wireloom.llm.sharding import heavy, initial_map, load_map, rebalanced, save_map, shard_rows
 
 load()
 
@@ -56,3 +56,30 @@ def test_rebalance_moves_little(spark, tmp_path):
         load_of[s] += size[k]
     assert set(new) == set(range(64)) and max(load_of.values()) - min(load_of.values()) <= 13
     assert sum(size[k] for k in new if new[k] != old[k]) <= 1.5 * sum(size.values()) / 5
+
+
+def test_equal_rows_are_split(spark):
+    """A third of all rows equal in id and text, another sixth equal in text only: the law holds within 2 %."""
+    rows = [(1, "same text " * 20)] * 4000 + [(k, "shared text " * 17) for k in range(2, 2002)] + [(k, f"text {k} " * 25) for k in range(2002, 8002)]
+    got = shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter(r.id for r in got) == Counter(i for i, _ in rows)
+    holds(got, 40, 0.02 * sum(r.size for r in got) / 40)
+
+
+def test_small_groups_stay_together(spark):
+    rows = [(k, f"group {k % 3000} " * 10) for k in range(12000)] + [(None, "group 7 " * 10), (5, None), (6, ""), (6, "")]
+    got = shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    homes = defaultdict(set)
+    for r in got:
+        homes[r.text_crc32].add(r.shard)
+    assert len(homes) == 3001 and all(len(h) == 1 for h in homes.values())
+    holds(got, 8, 0.02 * sum(r.size for r in got) / 8)
+
+
+def test_heavy_keys_are_exact(spark):
+    rows = spark.range(5000).select((F.col("id") % 97).alias("k"), (F.col("id") % 13 + 1).alias("size")).unionByName(spark.range(900).select(F.lit(3).cast("long").alias("k"), F.lit(9).cast("long").alias("size")))
+    total = Counter()
+    for r in rows.collect():
+        total[r.k] += r.size
+    for limit in (0, 300, 365, 5000, 10**6):
+        assert sorted(r.k for r in heavy(rows, "k", limit, 16).collect()) == sorted(k for k, n in total.items() if n > limit)

@@ -9,11 +9,39 @@ from .store import stored
 from ..session import scratch_path
 
 SLOTS = 8192  # virtual slots; fixed for the life of a data set, and the bound of every map
+WHOLE = 64    # a group of equal texts stays in one slot up to this part of a shard's equal share of bytes
 
 
-def slot_of(key: Column, spread: Column, slots: int = SLOTS) -> Column:
-    """Virtual slot of a row. ``spread`` parts rows that share a key."""
-    return F.pmod(F.xxhash64(key, spread), F.lit(slots)).cast("int")
+def slot_of(key: Column, slots: int = SLOTS) -> Column:
+    """Virtual slot of a hashed key."""
+    return F.pmod(key, F.lit(slots)).cast("int")
+
+
+def heavy(rows: DataFrame, key: str, limit: int, slots: int = SLOTS) -> DataFrame:
+    """Keys whose rows hold more than ``limit`` bytes (``size``), exactly.
+
+    Bytes are summed per slot first; only keys of slots beyond the limit are summed one by one, so little is shuffled. At most
+    total / limit keys can be returned, which bounds the broadcasts here and at the caller.
+    """
+    full = rows.groupBy(slot_of(F.col(key), slots).alias("_s")).agg(F.sum("size").alias("_b")).filter(F.col("_b") > limit).select("_s")
+    inside = rows.withColumn("_s", slot_of(F.col(key), slots)).join(F.broadcast(full), "_s", "left_semi")
+    return inside.groupBy(key).agg(F.sum("size").alias("_b")).filter(F.col("_b") > limit).select(key)
+
+
+def with_slots(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Adds ``vslot`` to rows of ``size``, ``text_key``, ``row_key`` (hash of id and text) and ``number`` (any numbering of the rows).
+
+    A group of equal texts shares one slot. Beyond 1 / WHOLE of a shard's equal share its rows are dealt by id as well, and rows
+    equal in id and text, where even these are that many, by their number.
+    """
+    limit = -(-(rows.agg(F.sum("size")).first()[0] or 0) // (shards * WHOLE))
+    # both lists hold at most shards * WHOLE keys, as each key has more than the limit of bytes
+    texts = stored(heavy(rows, "text_key", limit, slots), "heavy-texts")
+    wide = rows.join(F.broadcast(texts), "text_key", "left_semi")
+    copies = stored(heavy(wide, "row_key", limit, slots), "heavy-rows")
+    marked = rows.join(F.broadcast(texts.withColumn("_t", F.lit(True))), "text_key", "left").join(F.broadcast(copies.withColumn("_r", F.lit(True))), "row_key", "left")
+    key = F.when(F.col("_r"), F.xxhash64("row_key", "number")).when(F.col("_t"), F.col("row_key")).otherwise(F.col("text_key"))
+    return marked.withColumn("vslot", slot_of(key, slots)).drop("_t", "_r")
 
 
 def initial_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -64,17 +92,20 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
 def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """``id``, ``size``, ``text_crc32``, ``vslot``, ``version``, ``shard`` and ``slot`` (place in the shard, from 0 without gaps) of every row.
 
-    Law: shards are near equal in bytes. Size is the text's UTF-8 bytes plus 16. Slots come from id and text together, so
-    rows that share an id still spread; rows equal in both share a slot. Sizes are summed per slot, the map starts as slots dealt round, and its next version is
+    Law: shards are near equal in bytes. Size is the text's UTF-8 bytes plus 16. Rows of equal text share a slot and thus a shard,
+    as long as they hold at most 1 / WHOLE of a shard's equal share; larger groups are split (:func:`with_slots`), so no group of
+    copies, rows that are equal altogether included, can overfill a shard or a task. Sizes are summed per slot, the map starts as slots dealt round, and its next version is
     rebalanced by these sums; both versions are stored in ``folder`` (a new one by default). The place in the shard is the place in the
     slot plus the rows of the shard's slots before, so no task sorts more than a slot.
 
-    Null text counts as empty. Null ids hash by text. An empty table gives an empty result. Equal rows take neighbouring places in no fixed order.
+    Null text counts as empty, and rows without text are a group like any other. Null ids are an id of their own. Texts of any length count whole; one that is
+    longer than a shard's share fills its shard. An empty table gives an empty result. Equal rows take neighbouring places in no fixed order.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = stored(rows.withColumn("vslot", slot_of(F.col("id"), F.col("text_crc32"), slots)), "shard-rows")
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+                       F.xxhash64(text).alias("text_key"), F.xxhash64(F.col(id_col), text).alias("row_key"), F.monotonically_increasing_id().alias("number"))
+    rows = stored(with_slots(stored(rows, "shard-keys"), shards, slots).select("id", "size", "text_crc32", "vslot"), "shard-rows")
     sums = stored(rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "slot-sums")
     folder = folder or scratch_path(spark, "slot-map")
     save_map(initial_map(spark, shards, slots), folder)
