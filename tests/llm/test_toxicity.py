@@ -6,7 +6,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from wireloom.llm import QUERIES, load
-from wireloom.llm.toxicity import toxicity
+from wireloom.llm.toxicity import fit_part, toxicity
 
 load()
 
@@ -39,3 +39,15 @@ def test_edges(spark):
     none = toxicity(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.25} or all(abs(r.score - 0.25) < 1e-9 for r in none)
     assert toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_fitting_rows_are_the_smallest_hashes(spark):
+    rows = spark.range(3000).selectExpr("id", "concat('text ', id) AS text", "cast(id % 2 AS int) AS toxic")
+    rows = rows.unionByName(rows.limit(5)).withColumn("toxic", F.col("toxic"))
+    n, most = rows.count(), 700
+    every = sorted(r.order for r in fit_part(rows, n, n).collect())
+    assert len(every) == len(set(every)) == 3000
+    for parts in (1, 7):
+        assert sorted(r.order for r in fit_part(rows.repartition(parts), n, most).collect()) == every[:most]
+    same = spark.range(50).selectExpr("1L AS id", "'a' AS text", "1 AS toxic")
+    assert fit_part(same, 50, 10).count() == 1

@@ -16,7 +16,7 @@ from .store import small_side, stored
 GRAMS = (4, 5, 6)          # characters of an n-gram
 BITS = 18                  # n-grams hash into 2^BITS buckets; also the bound of what the driver gets as counts
 FEATURES = 4096            # buckets that tell most between the classes and carry a weight
-FIT_ROWS = 20_000          # labelled training rows the weights are fitted on, those with the smallest hash of their id; counts use all
+FIT_ROWS = 20_000          # labelled training rows the weights are fitted on, those with the smallest hash of id and text; counts use all
 SMOOTHING = 1.0
 PENALTY = 3e-6
 STEPS = 300
@@ -126,6 +126,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def fit_part(rows: DataFrame, n: int, most: int = FIT_ROWS) -> DataFrame:
+    """The ``most`` rows with the smallest hash of id and text (``order``), whatever the partitions; rows equal in both count once.
+
+    ``n`` is the number of rows.
+    """
+    keyed = rows.withColumn("order", F.xxhash64("id", "text", F.lit("fit")))
+    # the first hash beyond the sample is looked for in a share of the hash range that is likely to hold enough of them, then among all
+    for share in (2 * most / max(n, 1), 1.0) if n > 2 * most else (1.0,):
+        top = min(int(share * 2**64) - 2**63, 2**63 - 1)
+        beyond = keyed.filter(F.col("order") <= top).select("order").distinct().orderBy("order").offset(most).limit(1).collect()
+        if beyond:
+            keyed = keyed.filter(F.col("order") < beyond[0][0])
+            break
+    return keyed.dropDuplicates(["order"])
+
+
 def train(rows: DataFrame) -> Model:
     """The classifier of labelled ``rows`` (id, text, toxic 0 or 1).
 
@@ -150,16 +166,10 @@ def train(rows: DataFrame) -> Model:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [text_features(t.as_py(), place) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())).cast(pa.list_(pa.int32())), batch.column(1)], names=["x", "toxic"])
-
-    part = rows
-    cut = n0 + n1 > FIT_ROWS
-    if cut:
-        # the rows of smallest hash: a cut in the hash range that leaves about FIT_ROWS, and limit as the hard bound
-        u = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-        part = rows.filter(u < FIT_ROWS / (n0 + n1))
-    sample = part.select("text", "toxic").mapInArrow(features, "x array<int>, toxic int")
-    sample = (sample.limit(FIT_ROWS) if cut else sample).toArrow()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())).cast(pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["x", "toxic", "order"])
+
+    part = fit_part(rows, n0 + n1).select("text", "toxic", "order")
+    sample = part.mapInArrow(features, "x array<int>, toxic int, order long").toArrow().sort_by("order")
     x = sample["x"].combine_chunks()
     at = x.offsets.to_numpy()
     flat = x.values.to_numpy()
