@@ -152,15 +152,31 @@ def content_keys(spark, sf):
     return M.content_keys(d, "rules", "p1").drop("normalized_text")
 
 
-@register("reusable_claims", """WITH c AS (SELECT doc_id, sha256(text) AS h, TIMESTAMP '2024-01-01' + doc_id * INTERVAL '30' SECOND AS t FROM documents)
-SELECT a.doc_id AS claim_id, (SELECT b.doc_id FROM c b WHERE b.h = a.h AND b.doc_id <> a.doc_id AND (b.t, b.doc_id) < (a.t, a.doc_id) AND b.t >= a.t - INTERVAL '6' HOUR
-  ORDER BY b.t DESC, b.doc_id DESC LIMIT 1) AS reused_claim_id FROM c a""")
-def reusable_claims(spark, sf):
-    c = _docs(spark, sf).select(
+_TIMED = "c AS (SELECT doc_id, sha256(text) AS h, TIMESTAMP '2024-01-01' + doc_id * INTERVAL '30' SECOND AS t FROM documents)"
+
+
+def _timed_claims(spark, sf):
+    return _docs(spark, sf).select(
         F.col("doc_id").alias("claim_id"), F.sha2("text", 256).alias("text_hash"), F.lit("rules").alias("extractor_name"),
         F.lit("p1").alias("prompt_version"), F.lit(1).alias("schema_version"), F.lit("canon").alias("canonicaliser_version"),
         F.timestamp_add("SECOND", (F.col("doc_id") * 30).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("created_at"))
-    return M.reusable_claims(c).select("claim_id", "reused_claim_id")
+
+
+@register("reusable_claims", f"""WITH {_TIMED}
+SELECT a.doc_id AS claim_id, (SELECT b.doc_id FROM c b WHERE b.h = a.h AND b.doc_id <> a.doc_id AND (b.t, b.doc_id) < (a.t, a.doc_id) AND b.t >= a.t - INTERVAL '6' HOUR
+  ORDER BY b.t DESC, b.doc_id DESC LIMIT 1) AS reused_claim_id FROM c a""")
+def reusable_claims(spark, sf):
+    return M.reusable_claims(_timed_claims(spark, sf)).select("claim_id", "reused_claim_id")
+
+
+@register("reuse_payloads", f"""WITH {_TIMED},
+near AS (SELECT *, CASE WHEN lag(t) OVER w >= t - INTERVAL '72' HOUR THEN lag(doc_id) OVER w END AS prev FROM c WINDOW w AS (PARTITION BY h ORDER BY t, doc_id)),
+runs AS (SELECT *, count(*) FILTER (prev IS NULL) OVER (PARTITION BY h ORDER BY t, doc_id) AS run FROM near)
+SELECT doc_id AS claim_id, prev AS reused_claim_id, min(doc_id) OVER (PARTITION BY h, run) AS payload_claim_id, 'payload of ' || min(doc_id) OVER (PARTITION BY h, run) AS summary FROM runs""")
+def reuse_payloads(spark, sf):
+    """Every claim with the payload of the first claim of its run of equal texts."""
+    claims = _timed_claims(spark, sf).withColumn("summary", F.concat(F.lit("payload of "), F.col("claim_id").cast("string")))
+    return M.reuse_payloads(claims, ["summary"], 72).select("claim_id", "reused_claim_id", "payload_claim_id", "summary")
 
 
 @register("text_preview", """SELECT doc_id, CASE WHEN length(text) > 320 THEN left(text, 317) || '...' ELSE text END AS preview, length(text) AS text_length FROM documents""")

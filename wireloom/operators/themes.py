@@ -144,9 +144,15 @@ def theme_windows(df: DataFrame, cadence: str, col: str) -> DataFrame:
     return assign_windows(df, col, length, every).withColumn("cadence", F.lit(cadence))
 
 
+def evidence_id() -> Column:
+    """Id of an evidence row: 60 bits of the hash of theme, event and claim, so two claims of one event are two rows."""
+    digest = F.sha2(F.concat_ws("|", "theme_key", F.col("event_id").cast("string"), F.col("claim_id").cast("string")), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def windowed_evidence(evidence: DataFrame, cadences=("daily", "weekly")) -> DataFrame:
     """Each evidence row in every daily and weekly window it falls in (created_at stands in for a missing time)."""
-    e = evidence.withColumns({"_t": F.coalesce("event_time", "created_at"), "evidence_id": F.col("event_id")})
+    e = evidence.withColumns({"_t": F.coalesce("event_time", "created_at"), "evidence_id": evidence_id()})
     out = None
     for c in cadences:
         part = theme_windows(e, c, "_t")
@@ -154,7 +160,7 @@ def windowed_evidence(evidence: DataFrame, cadences=("daily", "weekly")) -> Data
     return out.drop("_t")
 
 
-ITEM_ORDER = lambda: [F.desc("score"), F.desc("time_us"), F.desc("evidence_id")]
+ITEM_ORDER = lambda: [F.desc("score"), F.desc("time_us"), F.desc("event_id"), F.desc("claim_id")]
 
 
 def best_per_key(items: DataFrame) -> DataFrame:
@@ -315,10 +321,10 @@ def card_gates(df: DataFrame, theme: Theme = ENERGY_TO_AGRI) -> Column:
 
 
 def card_fields(df: DataFrame) -> DataFrame:
-    """Card texts and narrative signature of each assessment."""
+    """Card texts, opportunity angles, evidence references and narrative signature of each assessment."""
     lens, pattern = F.coalesce("lens_key", F.lit("theme_signal")), F.coalesce("lens_pattern", F.lit("input_cost_pass_through"))
     spaced = F.replace(pattern, F.lit("_"), F.lit(" "))
-    opp1 = T.lookup(lens, {k: v[0] for k, v in V.OPPORTUNITY_TEXT.items()})
+    angles = F.coalesce(T.lookup(lens, {k: list(v) for k, v in V.OPPORTUNITY_TEXT.items()}), F.array().cast("array<string>"))
     risk1 = T.lookup(lens, {k: v[0] for k, v in V.RISK_TEXT.items()})
     stop = T.lookup(lens, {k: "; ".join(v) for k, v in V.INVALIDATION_TEXT.items()})
     return df.withColumns({
@@ -327,9 +333,9 @@ def card_fields(df: DataFrame) -> DataFrame:
                                   F.lit(" urgency and "), "time_horizon", F.lit(" horizon.")),
         "why_it_matters": F.concat(F.lit("Transmission via "), spaced, F.lit(" can affect downstream agri-input pricing or capacity dynamics.")),
         "transmission_path": F.concat(F.lit("Energy/supply stress -> "), spaced, F.lit(" -> agri-input pressure/capacity response")),
-        "watch_next": F.concat(F.lit("Track incremental supportive vs contradictory evidence in the next batch window. Key risk watch: "), risk1),
-        "invalidation": stop,
-        "narrative_signature": F.sha2(F.concat_ws("|", "theme_key", lens, pattern, F.lower(opp1)), 256)})
+        "watch_next": F.concat(F.lit("Track incremental supportive vs contradictory evidence in the next batch window."), F.coalesce(F.concat(F.lit(" Key risk watch: "), risk1), F.lit(""))),
+        "invalidation": F.coalesce(stop, F.lit("")), "opportunity_angles": angles, "supporting_evidence_refs": F.col("top_supporting"),
+        "narrative_signature": F.sha2(F.concat_ws("|", "theme_key", lens, pattern, F.coalesce(F.lower(F.get(angles, F.lit(0))), F.lit("none"))), 256)})
 
 
 def material_change(cur: str = "", prior: str = "p_") -> Column:

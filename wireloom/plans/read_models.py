@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import digest, themes, topics
@@ -37,6 +40,22 @@ def theme_batch(events: DataFrame, evidence: DataFrame | None = None, history: D
             "briefs": themes.briefs(bundles, cards, theme), "runs": themes.run_metrics(bundles, cards)}
 
 
+def theme_batches(events: DataFrame, registered: Iterable[themes.Theme], evidence: DataFrame | None = None, history: DataFrame | None = None,
+                  cadences=("daily", "weekly"), dry_run: bool = False) -> dict[str, DataFrame]:
+    """:func:`theme_batch` of every theme in one run, the same tables of all themes put together.
+
+    Themes are configuration, a few per deployment; events are read once. A theme runs in its own cadences only, and sees only its own
+    evidence and cards. Columns that only the hooks of one theme add are null for the others.
+    """
+    registered = [(theme, tuple(c for c in cadences if c in theme.cadences)) for theme in registered]
+    if not any(own for _, own in registered):
+        raise ValueError("no theme runs in these cadences")
+    events = cut_lineage(events)
+    mine = lambda df, theme: None if df is None else df.filter(F.col("theme_key") == theme.key)
+    runs = [theme_batch(events, mine(evidence, theme), mine(history, theme), theme, own, dry_run) for theme, own in registered if own]
+    return {name: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [run[name] for run in runs]) for name in runs[0]}
+
+
 def memo_packs(snapshots: DataFrame, runs: DataFrame | None = None, length: str = "1 day", threshold: float = 0.58) -> dict[str, DataFrame]:
     """Ranking, selection and the input pack of the selected topic of every window."""
     w = cut_lineage(topics.windowed(topics.map_topics(snapshots), length))

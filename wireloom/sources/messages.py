@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import text as X, vocab as V
 from ..session import cut_lineage
-from ..operators.asof import HOUR, latest_per_key, micros, previous_within
+from ..operators.asof import HOUR, PARTS, latest_per_key, micros, next_from, previous_within
 
 PAYLOAD = T.StructType([
     T.StructField("source_type", T.StringType()), T.StructField("source_stream_id", T.StringType()),
@@ -15,6 +15,8 @@ PAYLOAD = T.StructType([
     T.StructField("raw_entities", T.StringType()), T.StructField("forwarded_from", T.StringType()),
 ])
 KEY = ["source_stream_id", "source_message_id"]
+REUSE_KEYS = ["text_hash", "extractor_name", "prompt_version", "schema_version", "canonicaliser_version"]
+SALTS = 16  # parts into which the claims that take one payload are dealt
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -67,12 +69,34 @@ def content_keys(df: DataFrame, extractor: str, prompt: str, schema_version: int
 
 def reusable_claims(claims: DataFrame, hours: int = 6) -> DataFrame:
     """Earlier claim that can be reused: equal text hash and versions, at most ``hours`` before, the latest one."""
-    keys = ["text_hash", "extractor_name", "prompt_version", "schema_version", "canonicaliser_version"]
     timed = claims.withColumn("_us", micros("created_at"))
-    out = previous_within(timed, keys, "_us", "claim_id", hours * HOUR, [])
+    out = previous_within(timed, REUSE_KEYS, "_us", "claim_id", hours * HOUR, [])
     return out.withColumn("reused_claim_id", F.col("prev.tie")).drop("prev", "_us")
 
 
+def reuse_payloads(claims: DataFrame, payload: list[str], hours: int = 6) -> DataFrame:
+    """Claims whose ``payload`` columns come from the claim they reuse; adds ``reused_claim_id`` and ``payload_claim_id``.
+
+    A reused claim may itself reuse an earlier one, so a payload is that of the first claim of a run: claims of equal keys, each at most
+    ``hours`` after the one before. The first of a run is the last claim without a predecessor, looked up by time slices, so a text that a
+    third of all claims repeats is sorted by many tasks; its payload goes out to ``SALTS`` parts of them. Claims with a null key reuse nothing.
+    """
+    known = F.lit(True)
+    for key in REUSE_KEYS:
+        known = known & F.col(key).isNotNull()
+    linked = cut_lineage(reusable_claims(claims.filter(known).select("claim_id", "created_at", *REUSE_KEYS), hours).withColumn("_back", -micros("created_at")))
+    starts, later = linked.filter("reused_claim_id IS NULL"), linked.filter("reused_claim_id IS NOT NULL")
+    found = next_from(later.select(*REUSE_KEYS, "claim_id", "reused_claim_id", "_back"), starts, REUSE_KEYS, "_back", "_back", "claim_id", max(hours * HOUR // PARTS, 1))
+    links = cut_lineage(found.select("claim_id", "reused_claim_id", F.col("next.tie").alias("payload_claim_id")))
+    rows = claims.join(links, "claim_id", "left").withColumns({
+        "payload_claim_id": F.coalesce("payload_claim_id", F.col("claim_id").cast("long")), "_salt": F.pmod(F.col("claim_id").cast("long"), F.lit(SALTS))})
+    roots = claims.select(F.col("claim_id").cast("long").alias("payload_claim_id"), F.struct(*payload).alias("_root")).join(links.select("payload_claim_id").distinct(), "payload_claim_id", "left_semi")
+    roots = roots.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    taken = F.col("reused_claim_id").isNotNull()
+    out = rows.join(roots, ["payload_claim_id", "_salt"], "left")
+    return out.withColumns({c: F.when(taken, F.col("_root")[c]).otherwise(F.col(c)) for c in payload}).select(*claims.columns, "reused_claim_id", "payload_claim_id")
+
+
 def extract_claims(messages: DataFrame) -> DataFrame:
     """Deterministic claim builder over ``text``, ``message_time`` and ``channel`` (any column may be null)."""
     text, low = F.coalesce("text", F.lit("")), F.lower(F.coalesce("text", F.lit("")))
