@@ -3,9 +3,9 @@
 import contextlib
 import io
 
-from pyspark.sql import functions as F
-
-from wireloom.operators import triage as R
+from wireloom.catalog import events as CE, quality as CQ
+from wireloom.functions import vocab as V
+from wireloom.operators import quality as Q, triage as R
 from wireloom.sources import fixture as X
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +24,21 @@ def test_burst_never_broadcasts_claims(spark, monkeypatch):
     plans.append(plan_of(R.burst_counts(X.raw_claims(spark, SF))))
     assert len(plans) > 3 and any("SortMergeJoin" in p for p in plans)
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_memo_words_are_searched_before_their_borders(spark):
+    """A word border test costs many times a plain search, and most texts have none of the words."""
+    memos = CQ.memos(spark, SF)
+    plan = plan_of(Q.audit_memo_text(memos))
+    assert plan.count("Contains(_all") == sum(map(len, V.TOPIC_KEYWORDS.values())) == plan.count("(?<!")
+
+
+def test_identity_fold_deals_its_rows_after_the_last_join(spark):
+    """A join planned by key may still turn into a broadcast, which leaves rows as they were dealt before; a group must be in one task all the same."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(CE.fold_by_identity(spark, SF)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    folds = [i for i, line in enumerate(plan) if "MapInPandas" in line]
+    assert len(folds) == 3 and all("Sort [" in plan[i + 1] and "Exchange hashpartitioning" in plan[i + 2] for i in folds)
