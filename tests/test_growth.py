@@ -5,7 +5,7 @@ import io
 
 from wireloom.catalog import events as CE, quality as CQ
 from wireloom.functions import vocab as V
-from wireloom.operators import quality as Q, triage as R
+from wireloom.operators import events as OE, fold as FO, quality as Q, triage as R
 from wireloom.sources import fixture as X
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,12 @@ def test_identity_fold_deals_its_rows_after_the_last_join(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     folds = [i for i, line in enumerate(plan) if "MapInPandas" in line]
     assert len(folds) == 3 and all("Sort [" in plan[i + 1] and "Exchange hashpartitioning" in plan[i + 2] for i in folds)
+
+
+def test_fold_takes_few_rounds(spark, monkeypatch):
+    """A round costs seconds whatever it holds, so claims that one task folds at once are not cut into many slices."""
+    rounds, replay = [], FO._prints
+    monkeypatch.setattr(FO, "_prints", lambda e: rounds.append(1) or replay(e))
+    monkeypatch.setattr(FO, "_rooted", lambda versions: None)
+    OE.fold_events(CE.fold_claims(spark, SF))
+    assert len(rounds) == 2  # the one slice, and that nothing moves any more
