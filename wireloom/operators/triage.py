@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T, vocab as V
@@ -10,6 +13,8 @@ from .asof import MINUTE, micros, slice_of
 from .scoring import is_local_incident
 
 BURST = 15 * MINUTE
+IN_ONE = 10_000  # claims of a topic and two slots that one task compares directly
+ASKED = 256      # claims that are held against them at a time
 
 
 def impact_band(c: Column) -> Column:
@@ -78,22 +83,115 @@ def recent_related(claims: DataFrame) -> DataFrame:
             .groupBy("claim_id").agg(F.sum("n").alias("n_recent")))
 
 
-def burst_counts(claims: DataFrame) -> DataFrame:
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal strings have equal numbers; -1 for the empty string."""
+    coded = pc.dictionary_encode(column.combine_chunks())
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    return np.where(codes == empty, -1, codes) if empty >= 0 else codes
+
+
+def _tokens(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token number) of every item of a list column."""
+    lists = column.combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), _codes(pa.chunked_array([pc.list_flatten(lists)]))
+
+
+def _marks(of: tuple[np.ndarray, np.ndarray], tokens: np.ndarray, first: int, rows: int) -> np.ndarray:
+    """Rows ``first`` to ``first + rows`` by tokens: 1 where the row has the token."""
+    row, token = of
+    lo, hi = np.searchsorted(row, [first, first + rows])
+    at = np.searchsorted(tokens, token[lo:hi])
+    there = at < len(tokens)
+    there[there] = tokens[at[there]] == token[lo:hi][there]
+    out = np.zeros((rows, len(tokens)), np.float32)
+    out[row[lo:hi][there] - first, at[there]] = 1
+    return out
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Counts of the claims of one (topic, slot) among the claims of this slot and the one before, a block of claims at a time."""
+    table = table.sort_by([("us", "ascending"), ("claim_id", "ascending")])
+    us, ids = table["us"].to_numpy(), table["claim_id"].to_numpy()
+    fp, src, band = _codes(table["fp"]), _codes(table["src"]), table["band"].to_numpy()
+    ents, words = _tokens(table["ents"]), _tokens(table["words"])
+    n = len(us)
+    new = np.ones(n, bool)
+    new[1:] = (us[1:] != us[:-1]) | (ids[1:] != ids[:-1])
+    before = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # rows that stand before a row's place
+    since = np.searchsorted(us, us - BURST, "left")
+    asked = np.flatnonzero(table["slot"].to_numpy() == table["at_slot"].to_numpy())
+    soft, count = np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+    for k in range(0, len(asked), ASKED):
+        q = asked[k:k + ASKED]  # the slot's own claims stand together, behind those of the slot before
+        lo, hi = since[q[0]], before[q[-1]]
+        if lo == hi:
+            continue
+        place = np.arange(lo, hi)
+        open_ = (place >= since[q][:, None]) & (place < before[q][:, None])
+        shared = lambda of: (lambda t: (_marks(of, t, q[0], len(q)), _marks(of, t, lo, hi - lo)))(
+            np.unique(of[1][slice(*np.searchsorted(of[0], [q[0], q[-1] + 1]))]))
+        (own_ents, their_ents), (own_words, their_words) = shared(ents), shared(words)
+        source = (src[q][:, None] == src[lo:hi]) & (src[q] >= 0)[:, None] & (own_words @ their_words.T >= 2)
+        related = open_ & (source | (own_ents @ their_ents.T >= 2) | ((fp[q][:, None] == fp[lo:hi]) & (fp[q] >= 0)[:, None]))
+        soft[k:k + ASKED] = related.any(axis=1)
+        # place from which the related claims so far hold every entity of the claim
+        covered = np.full(len(q), -1)
+        has = their_ents.T > 0
+        need = own_ents.sum(axis=1)
+        which = np.argsort(-own_ents, axis=1, kind="stable")
+        for j in range(int(need.max(initial=0))):
+            r = np.flatnonzero(need > j)
+            hit = related[r] & has[which[r, j]]
+            first = np.where(hit.any(axis=1), hit.argmax(axis=1), hi - lo)
+            covered[r] = np.maximum(covered[r], first)
+        counted = related & (band[lo:hi] >= band[q][:, None]) & (source | (np.arange(hi - lo) >= covered[:, None]))
+        count[k:k + ASKED] = counted.sum(axis=1)
+    return pa.table({"claim_id": table["claim_id"].combine_chunks().take(pa.array(asked)), "soft_related": soft, "burst_count": count})
+
+
+def burst_counts(claims: DataFrame, in_one: int | None = None) -> DataFrame:
     """Related earlier claims of the 15 minutes before: ``soft_related`` and ``burst_count`` per claim.
 
     Needs claim_id, topic, created_at, fingerprint, source_claimed, impact_score, countries, orgs, people, keywords.
     Two claims are related when the fingerprint is equal, or two entities are shared, or the source and two keywords
-    are shared. Claims of one 15-minute slot with the same profile (fingerprint, entities, source, keywords, band)
-    are one row when relations are looked up, through keys that each already prove a relation: a burst of copies is
-    one profile, and no pair of claims is ever built. Counts come from positions inside a profile.
+    are shared. Claims of a topic meet by 15-minute slot: each slot and the one before are compared in one task, as bit matrices of
+    a few hundred claims, so no pair leaves the task. Where the two slots hold more than ``in_one`` claims, the counts come from
+    :func:`_counts_by_profile`, which is spread over tasks.
     """
+    limit = in_one or IN_ONE
     src = T.let(F.lower(T.strip(F.coalesce("source_claimed", F.lit("")))), lambda s: s)
+    none = F.array().cast("array<string>")
     rows = claims.select(
         "claim_id", "topic", micros("created_at").alias("us"), F.coalesce("fingerprint", F.lit("")).alias("fp"),
-        T.entity_signature(F.col("countries"), F.col("orgs"), F.col("people")).alias("ents"), src.alias("src"),
-        F.array_sort(T.lowered_set(F.col("keywords"))).alias("words"), band_rank(F.col("impact_score")).alias("band"))
+        F.coalesce(T.entity_signature(F.col("countries"), F.col("orgs"), F.col("people")), none).alias("ents"), src.alias("src"),
+        F.coalesce(F.array_sort(T.lowered_set(F.col("keywords"))), none).alias("words"), band_rank(F.col("impact_score")).alias("band"))
+    rows = cut_lineage(rows.withColumn("slot", slice_of(F.col("us"), BURST)))
+    known = F.col("topic").isNotNull() & F.col("slot").isNotNull() & F.col("claim_id").isNotNull()
+    at = lambda df: df.withColumn("at_slot", F.explode(F.array(F.col("slot"), F.col("slot") + 1)))
+    large = cut_lineage(at(rows.filter(known).groupBy("topic", "slot").agg(F.count(F.lit(1)).alias("n"))).groupBy("topic", "at_slot").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).drop("n"))
+    small = at(rows.filter(known)).join(shuffled(large), ["topic", "at_slot"], "left_anti")
+    schema = f"claim_id {rows.schema['claim_id'].dataType.simpleString()}, soft_related boolean, burst_count long"
+    direct = small.groupBy("topic", "at_slot").applyInArrow(_compare, schema)
+    asked = large.withColumnRenamed("at_slot", "slot")
+    near = asked.unionByName(asked.withColumn("slot", F.col("slot") - 1)).distinct()
+    many = rows.join(shuffled(asked.withColumn("asked", F.lit(True))), ["topic", "slot"], "left").join(shuffled(near), ["topic", "slot"], "left_semi")
+    rest = _counts_by_profile(many).filter("asked").drop("asked")
+    unknown = rows.filter(~known).select("claim_id", F.lit(False).alias("soft_related"), F.lit(0).cast("long").alias("burst_count"))
+    return direct.unionByName(rest).unionByName(unknown)
+
+
+def _counts_by_profile(rows: DataFrame) -> DataFrame:
+    """The counts of :func:`burst_counts`, and ``asked``, for slots of many claims.
+
+    Claims of one 15-minute slot with the same profile (fingerprint, entities, source, keywords, band)
+    are one row when relations are looked up, through keys that each already prove a relation: a burst of copies is
+    one profile, and no pair of claims is ever built. Counts come from positions inside a profile.
+    """
     rows = rows.withColumns({
-        "slot": slice_of(F.col("us"), BURST), "pos": F.struct("us", F.col("claim_id").alias("id")),
+        "pos": F.struct("us", F.col("claim_id").alias("id")),
         "prof": F.md5(F.concat_ws("\u0001", "topic", "fp", F.array_join("ents", "\u0002"), "src", F.array_join("words", "\u0002"), F.col("band").cast("string")))})
     rows = cut_lineage(rows)
     pairs_of = lambda arr, head: F.flatten(F.transform(arr, lambda x, i: F.transform(
@@ -143,8 +241,8 @@ def burst_counts(claims: DataFrame) -> DataFrame:
     counts = _count_around(ends, facts, part).groupBy("claim_id", "prof", "slot").agg(F.sum(F.col("sign") * F.col("n_before")).alias("n"))
     counts = counts.groupBy("claim_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("burst_count"))
     related = near.select("claim_id").distinct().withColumn("soft_related", F.lit(True))
-    return claims.select("claim_id").join(shuffled(related), "claim_id", "left").join(shuffled(counts), "claim_id", "left").select(
-        "claim_id", F.coalesce("soft_related", F.lit(False)).alias("soft_related"), F.coalesce("burst_count", F.lit(0)).cast("long").alias("burst_count"))
+    return rows.select("claim_id", "asked").join(shuffled(related), "claim_id", "left").join(shuffled(counts), "claim_id", "left").select(
+        "claim_id", "asked", F.coalesce("soft_related", F.lit(False)).alias("soft_related"), F.coalesce("burst_count", F.lit(0)).cast("long").alias("burst_count"))
 
 
 def materially_new(df: DataFrame) -> DataFrame:
