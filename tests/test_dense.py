@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wireloom.operators import triage as R
+from wireloom.operators import digest as D, triage as R
 
 
 def _burst(spark, n):
@@ -30,3 +30,32 @@ def test_burst_by_profile_is_the_direct_comparison(spark):
     direct = rows(R.burst_counts(claims))
     assert direct == rows(R.burst_counts(claims, in_one=1)) == rows(R.burst_counts(claims, in_one=300))
     assert len({r[2] for r in direct}) > 20 and {r[1] for r in direct} == {True, False}
+
+
+def test_digest_search_runs_over_anchors(spark, monkeypatch):
+    """Events of one fingerprint are one cluster before the search starts; only a few of them are tied to another by hash or summary."""
+    n, nodes, search = 300, [], D.components
+    monkeypatch.setattr(D, "components", lambda edges: (nodes.append(edges.select("node").distinct().count()), search(edges))[1])
+    i = F.col("id")
+    source = spark.range(n).select(
+        i.alias("event_id"), F.lit(1).alias("window_start"), F.lit(2).alias("window_end"), (i % 2).cast("string").alias("topic_label"),
+        F.when(i % 50 > 1, F.concat(F.lit("F"), (i % 10).cast("string"))).alias("fingerprint"), F.when(i % 50 != 0, F.concat(F.lit("h"), (i % 97).cast("string"))).alias("claim_hash"),
+        F.when(i % 100 != 0, F.concat(F.lit("s"), i.cast("string"))).otherwise("").alias("summary_key"), F.lit("x").alias("summary"), (i % 7).cast("double").alias("impact_score"),
+        F.timestamp_micros(i * 60_000_000).cast("timestamp_ntz").alias("last_updated_at"))
+    clusters = D.digest_clusters(source)
+    assert max(nodes) < n / 10
+    rows = source.collect()
+    best = {r.event_id: r.event_id for r in rows}
+    for _ in range(n):
+        low = {}
+        keys = lambda r: [(r.topic_label, k, v.lower()) for k, v in (("c", r.claim_hash), ("f", r.fingerprint), ("s", r.summary_key)) if v]
+        for r in rows:
+            for k in keys(r):
+                low[k] = min(low.get(k, n), best[r.event_id])
+        new = {r.event_id: min([best[r.event_id], *(low[k] for k in keys(r))]) for r in rows}
+        if new == best:
+            break
+        best = new
+    assert {r.event_id: r.cluster_id for r in clusters.collect()} == best and len(set(best.values())) > 2
+    table = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert table(D.digest_groups(source)) == table(D.merge_clusters(clusters))
