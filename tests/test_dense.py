@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from wireloom.operators import digest as D, triage as R
+from wireloom.functions import vocab as V
+from wireloom.operators import digest as D, quality as Q, triage as R
 
 
 def _burst(spark, n):
@@ -59,3 +60,23 @@ def test_digest_search_runs_over_anchors(spark, monkeypatch):
     assert {r.event_id: r.cluster_id for r in clusters.collect()} == best and len(set(best.values())) > 2
     table = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
     assert table(D.digest_groups(source)) == table(D.merge_clusters(clusters))
+
+
+def test_traceability_deals_references_by_the_number_of_memos(spark, monkeypatch):
+    """References pack well, so partitions cut by packed bytes hold ever more of them; none is sorted twice."""
+    monkeypatch.setattr(Q, "MEMOS", 20)
+    i, none = F.col("id"), F.array().cast("array<string>")
+    memos = spark.range(400).select(i.alias("memo_id"), *[none.alias(n) for n in V.MEMO_LIST_SECTIONS])
+    keys = Q.required_paragraphs(memos)
+    m, wanted = F.col("memo_id"), set(V.MEMO_TRACED_SECTIONS)
+    refs = keys.select("memo_id", "paragraph_key", F.when(m % 5 != 0, m + F.when(m % 7 == 0, 1).otherwise(0)).alias("event_id"), F.lit(None).cast("string").alias("source_id")).unionByName(
+        keys.select("memo_id", "paragraph_key", F.lit(None).cast("long").alias("event_id"), F.when(m % 11 == 0, "s9").otherwise("s1").alias("source_id")))
+    out = Q.audit_traceability(memos, refs, memos.select("memo_id", m.alias("event_id")), memos.select("memo_id", F.lit("s1").alias("source_id")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(memo_id" in plan
+    got = {tuple(r) for r in out.collect()}
+    want = set()
+    for k in range(400):
+        codes = ["missing_traceability"] if k % 5 == 0 else ["invalid_traceability_internal_event_id"] * (k % 7 == 0) + ["invalid_traceability_external_source_id"] * (k % 11 == 0)
+        want |= {(k, c, p) for c in codes for p in wanted}
+    assert got == want

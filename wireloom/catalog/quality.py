@@ -131,7 +131,7 @@ MEMO_OTHER = {
 
 def memos(spark, sf):
     c = X.claims(spark, sf).withColumn("topic", X._pick(V.MEMO_TOPICS, F.col("user_id") % 9))
-    return c.select(F.col("claim_id").alias("memo_id"), "topic", *[F.expr(e).alias(n) for n, e in {**MEMO_TEXT, **MEMO_OTHER}.items()],
+    return c.select(F.col("claim_id").alias("memo_id"), "user_id", "topic", *[F.expr(e).alias(n) for n, e in {**MEMO_TEXT, **MEMO_OTHER}.items()],
                     *[F.array(*[F.expr(e) for e in items]).alias(n) for n, items in MEMO_LISTS.items()])
 
 
@@ -184,8 +184,8 @@ okp AS (SELECT memo_id, paragraph_key FROM refs GROUP BY ALL HAVING count(event_
 UNION ALL SELECT DISTINCT memo_id, 'invalid_traceability_internal_event_id', paragraph_key FROM refs JOIN okp USING (memo_id, paragraph_key) WHERE event_id <> memo_id
 UNION ALL SELECT DISTINCT memo_id, 'invalid_traceability_external_source_id', paragraph_key FROM refs JOIN okp USING (memo_id, paragraph_key) WHERE source_id <> 'src_01'""")
 def audit_traceability(spark, sf):
-    m = memos(spark, sf).join(X.claims(spark, sf).select(F.col("claim_id").alias("memo_id"), "user_id"), "memo_id")
-    p = Q.required_paragraphs(m).join(m.select("memo_id", "user_id"), "memo_id")
+    m = memos(spark, sf)
+    p = Q.required_paragraphs(m, "user_id")
     u, k = F.col("user_id"), F.col("paragraph_key")
     inner = p.filter(~((k == "background") & (u % 5 == 0))).select("memo_id", k, (F.col("memo_id") + F.when(u % 17 == 0, 1).otherwise(0)).alias("event_id"), F.lit(None).cast("string").alias("source_id"))
     outer = p.filter(k != "risks[1]").select("memo_id", k, F.lit(None).cast("long").alias("event_id"), F.when(u % 19 == 0, "src_99").otherwise("src_01").alias("source_id"))

@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, vocab as V
+from ..session import shuffled
 from ..sources.messages import content_keys
 from .canonical import canon_claims
 from .digest import topic_label
 
 
+MEMOS = 10_000  # memos whose references one task sorts
+
+
 def duplicate_groups(events: DataFrame) -> DataFrame:
     """Identities with more than one event: ``exact`` when they agree on one claim hash, else ``conflict``."""
     g = events.filter(F.col("identity").isNotNull()).groupBy("identity").agg(
@@ -81,10 +85,10 @@ def audit_digest(bullets: DataFrame, source: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def required_paragraphs(memos: DataFrame) -> DataFrame:
-    """(memo_id, paragraph_key) that must be traced: fixed sections and every list item."""
+def required_paragraphs(memos: DataFrame, *carry: str) -> DataFrame:
+    """(memo_id, ``carry``, paragraph_key) that must be traced: fixed sections and every list item."""
     lists = [F.transform(F.col(name), _item_key(name)) for name in V.MEMO_LIST_SECTIONS]
-    return memos.select("memo_id", F.explode(F.concat(T.lit_array(V.MEMO_TRACED_SECTIONS), *lists)).alias("paragraph_key"))
+    return memos.select("memo_id", *carry, F.explode(F.concat(T.lit_array(V.MEMO_TRACED_SECTIONS), *lists)).alias("paragraph_key"))
 
 
 def _item_key(name: str):
@@ -96,16 +100,27 @@ def audit_traceability(memos: DataFrame, refs: DataFrame, events: DataFrame, sou
     references must exist. ``refs``: memo_id, paragraph_key, event_id, source_id in long form (one of the two set);
     ``events``/``sources``: memo_id with the allowed ids."""
     key = ["memo_id", "paragraph_key"]
-    has = refs.groupBy(*key).agg(F.count("event_id").alias("n_in"), F.count("source_id").alias("n_out"))
-    need = required_paragraphs(memos).join(has, key, "left").withColumn(
-        "complete", (F.coalesce("n_in", F.lit(0)) > 0) & (F.coalesce("n_out", F.lit(0)) > 0))
-    complete = need.filter("complete").select(*key)
-    real = refs.join(complete, key, "left_semi")
-    issue = lambda df, code: df.select("memo_id", F.lit(code).alias("code"), "paragraph_key").distinct()
-    return (
-        issue(need.filter("NOT complete"), "missing_traceability")
-        .unionByName(issue(real.filter(F.col("event_id").isNotNull()).join(events, ["memo_id", "event_id"], "left_anti"), "invalid_traceability_internal_event_id"))
-        .unionByName(issue(real.filter(F.col("source_id").isNotNull()).join(sources, ["memo_id", "source_id"], "left_anti"), "invalid_traceability_external_source_id")))
+
+    # internal and external references are one kind of row, so they are sorted for one join only
+    inner, outer = (lambda c: F.concat(F.lit("e"), c.cast("string"))), (lambda c: F.concat(F.lit("s"), c))
+    named = refs.select(*key, F.explode(F.array_compact(F.array(inner(F.col("event_id")), outer(F.col("source_id"))))).alias("ref"))
+    allowed = events.select("memo_id", inner(F.col("event_id")).alias("ref")).unionByName(sources.select("memo_id", outer(F.col("source_id")).alias("ref")))
+    # a memo names an id in many paragraphs; it is looked up once
+    unknown = named.select("memo_id", "ref").distinct().join(shuffled(allowed), ["memo_id", "ref"], "left_anti")
+    # such rows pack so well that partitions sized by their packed bytes would each hold millions of rows
+    parts = max(refs.sparkSession.sparkContext.defaultParallelism, -(-memos.count() // MEMOS))
+    deal = lambda df: df.repartition(parts, "memo_id", "ref")
+    found = deal(named).join(shuffled(deal(unknown.withColumn("bad", F.lit(True)))), ["memo_id", "ref"], "left")
+    internal = F.col("ref").startswith("e")
+    found = found.select(*key, F.lit(False).alias("need"), internal.alias("in"), (~internal).alias("out"),
+                         (internal & F.col("bad")).alias("no_in"), (~internal & F.col("bad")).alias("no_out"))
+    need = required_paragraphs(memos).select(*key, F.lit(True).alias("need"), *[F.lit(False).alias(c) for c in ("in", "out", "no_in", "no_out")])
+    has = lambda c: F.coalesce(F.max(c), F.lit(False)).alias(c)
+    by = found.unionByName(need).groupBy(*key).agg(*[has(c) for c in ("need", "in", "out", "no_in", "no_out")]).filter("need").withColumn("complete", F.col("in") & F.col("out"))
+    codes = F.array_compact(F.array(
+        F.when(~F.col("complete"), "missing_traceability"), F.when(F.col("complete") & F.col("no_in"), "invalid_traceability_internal_event_id"),
+        F.when(F.col("complete") & F.col("no_out"), "invalid_traceability_external_source_id")))
+    return by.select("memo_id", F.explode(codes).alias("code"), "paragraph_key")
 
 
 def _word_count(c: Column) -> Column:
