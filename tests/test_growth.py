@@ -51,3 +51,15 @@ def test_fold_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(FO, "_rooted", lambda versions: None)
     OE.fold_events(CE.fold_claims(spark, SF))
     assert len(rounds) == 2  # the one slice, and that nothing moves any more
+
+
+def test_context_is_compared_by_tile_not_by_key(spark, monkeypatch):
+    """A claim has dozens of keys that prove a match; a row for each, sorted twice, grew to hours. Large tiles still go by keys, with the same result."""
+    claims, events = CE._incoming(spark, SF).localCheckpoint(), CE._stored(spark, SF).localCheckpoint()
+    found = lambda same, n=None: sorted(map(tuple, OE.contextual_match(claims, events, same, in_one=n).collect()))
+    want = {same: found(same, 0) for same in (True, False)}
+    assert all(found(same, 12) == want[same] for same in want) and len(want[True]) > 300
+    monkeypatch.setattr(OE, "PART", 20)
+    monkeypatch.setattr(OE, "CELLS", 500)
+    monkeypatch.setattr(OE, "_match_by_keys", None)
+    assert all(found(same) == want[same] for same in want)
