@@ -3,9 +3,12 @@
 import contextlib
 import io
 
+import pytest
+
 from wireloom.catalog import events as CE, quality as CQ
 from wireloom.functions import vocab as V
 from wireloom.operators import events as OE, fold as FO, quality as Q, triage as R
+from wireloom.plans import claim_batch as B
 from wireloom.sources import fixture as X
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +66,28 @@ def test_context_is_compared_by_tile_not_by_key(spark, monkeypatch):
     monkeypatch.setattr(OE, "CELLS", 500)
     monkeypatch.setattr(OE, "_match_by_keys", None)
     assert all(found(same) == want[same] for same in want)
+
+
+def test_sparse_slots_are_compared_by_day(spark):
+    """A go of its own for every slot of one or two claims took most of the time; crowded days still go slot by slot, with the same result."""
+    claims = X.raw_claims(spark, SF).localCheckpoint()
+    found = lambda n=None: sorted(map(tuple, R.burst_counts(claims, n).collect()))
+    days = R.burst_counts(claims)
+    line = next(x for x in plan_of(days).splitlines() if "FlatMapGroupsInArrow" in x)
+    assert "whole" in line and "at_slot" not in line
+    assert found() == found(2) == found(6) and any(r[1] for r in found())
+
+
+def test_rebuild_extracts_claims_once(spark, monkeypatch):
+    """Every branch that reads the claims would search the texts again."""
+    class Seen(Exception):
+        pass
+
+    def seen(raw, *a):
+        raise Seen(plan_of(raw))
+
+    monkeypatch.setattr(B, "reuse_payloads", seen)
+    msgs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS claim_id", "text", "timestamp_ntz'2024-01-01' AS message_time", "source AS channel", "timestamp_ntz'2024-01-01' AS created_at")
+    with pytest.raises(Seen) as plan:
+        B.rebuild(msgs, "unused")
+    assert "ExistingRDD" in str(plan.value) and "FileScan" not in str(plan.value)
