@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 
@@ -117,3 +118,26 @@ def test_fold_reads_its_slice_batch_by_batch(spark, monkeypatch):
     for n in (0, 2, 10_000):
         monkeypatch.setattr(FO, "RECENT", n)
         assert replay() == want
+
+
+def test_claim_batch_deals_wide_claims_once(spark, monkeypatch):
+    """Canonicalisation fused into one stage has methods too long to be compiled; and what is found for a claim is put together before it meets the wide claim."""
+    from wireloom.catalog import plans as CP
+
+    class Seen(Exception):
+        pass
+
+    plans, cut = [], B.cut_lineage
+
+    def seen(df, *a):
+        plans.append(plan_of(df))
+        if "burst_count" in df.columns:
+            raise Seen
+        return cut(df, *a)
+
+    monkeypatch.setattr(B, "cut_lineage", seen)
+    with pytest.raises(Seen):
+        CP.claim_batch(spark, SF)
+    assert "payload_hash" in plans[0] and "*(" not in plans[0]
+    assert spark.conf.get("spark.sql.codegen.wholeStage") == "true"
+    assert re.findall(r"SortMergeJoin.*? \[(\w+)#", plans[-1])[:3] == ["claim_id", "claim_id", "existing_event_id"]
